@@ -8,9 +8,10 @@ must pass an estimate of the Jaccard similarity, corrected for chance register c
 full shingle sets.
 
 No step lists all pairs of a group. Equal shingle sets are one class with one representative. In a band bucket each
-representative is compared with the bucket's smallest only; links become components; then, only in buckets whose
-members still lie in different components, members outside the bucket's largest component are compared with all
-members of other components. After that every candidate pair was either checked or is joined by checked links.
+representative is compared with the bucket's smallest only, its centre; links become components. All that were compared
+with one centre but still lie in different components are then looked at in pairs of blocks of bounded size, members
+outside the largest component against all others, by counting shared shingles; only links leave that step. After it
+every candidate pair was either checked or is joined by checked links.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ BANDS, ROWS = 24, 4
 MANTISSA = 10
 #: The estimate of 96 registers has a deviation of at most 0.05; pairs are verified from 4 of them below the threshold on.
 MARGIN = 0.2
+#: Shingles of a block of members that are compared with those of another block.
+BLOCK = 1 << 19
 _RNG = np.random.default_rng(7)
 _FACTOR = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -116,6 +119,38 @@ def _same(percent: int):
     return run
 
 
+def _between(percent: int):
+    """Links between the members of a pair of blocks that lie in different components so far, from full shingle sets."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by([("block", "ascending"), ("doc_id", "ascending")])
+        ids, roots = group["doc_id"].to_numpy(), group["root"].to_numpy()
+        main, block = group["main"].to_numpy(zero_copy_only=False), group["block"].to_numpy()
+        sets: list[np.ndarray] = []
+        for lo, hi, data, at in blocks(group["text"].combine_chunks()):
+            hashes, first = shingle_sets(Words(data, at, SPACED), SHINGLE)
+            sets += [np.unique(hashes[first[i] : first[i + 1]]) for i in range(hi - lo)]
+        size = np.array([len(x) for x in sets])
+        known, members = np.unique(np.concatenate(sets), return_inverse=True)
+        first = np.concatenate([[0], np.cumsum(size)])
+        two = block[0] != block[-1]
+        found: list[tuple[int, int]] = []
+        marked = np.zeros(len(known), np.int32)
+        for x in np.flatnonzero(~main):
+            own = members[first[x] : first[x + 1]]
+            marked[own] = 1
+            both = np.add.reduceat(marked[members], first[:-1])
+            marked[own] = 0
+            good = (roots != roots[x]) & (100 * both >= percent * (size + size[x] - both))
+            if two:  # pairs within a block are looked at elsewhere
+                good &= block != block[x]
+            found += [(int(max(ids[x], ids[y])), int(min(ids[x], ids[y]))) for y in np.flatnonzero(good)]
+        kind = group.schema.field("doc_id").type
+        return pa.table({"a": pa.array([a for a, _ in found], kind), "b": pa.array([b for _, b in found], kind)})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept (whether that is itself).
 
@@ -139,28 +174,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     member = saved(member.join(shared.select("key", "least"), "key"))
     narrow = reps.select("rep", "n_shingles", "regs").groupBy("rep").agg(F.max_by(F.struct("n_shingles", "regs"), "n_shingles").alias("x")).select("rep", "x.n_shingles", "x.regs")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of distinct (a, b): those that the estimate lets through and the full sets confirm."""
-        side = lambda c: narrow.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-        likely = saved(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(percent / 100), pairs.schema))
-        wanted = likely.select(F.col("a").alias("doc_id")).unionByName(likely.select(F.col("b").alias("doc_id"))).distinct()
-        texts = of.join(wanted, "doc_id", "left_semi")
-        a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        return likely.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_same(percent), pairs.schema).distinct()
-
+    side = lambda c: narrow.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
     star = saved(member.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct())
-    links = saved(verified(star))
+    likely = saved(star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(percent / 100), star.schema))
+    wanted = star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct()
+    texts = saved(of.join(wanted, "doc_id", "left_semi"))
+    a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
+    links = saved(likely.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_same(percent), star.schema).distinct())
     parts = components(links)
 
-    # buckets whose members are still apart
-    placed = member.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
-    by_root = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    main = by_root.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    apart = saved(placed.join(main.select("key", "main"), "key"))
-    left = apart.where("root <> main").select("key", F.col("rep").alias("x"), F.col("root").alias("root_x"))
-    right = apart.select("key", F.col("rep").alias("y"), F.col("root").alias("root_y"))
-    crossed = left.join(right, "key").where("root_x <> root_y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
-    rest = saved(verified(crossed.join(star, ["a", "b"], "left_anti")))
+    # two members of a bucket were both compared with its centre; all that were compared with one centre are looked at
+    # together if they are still apart, in pairs of blocks of bounded size
+    around = (
+        star.select(F.col("b").alias("centre"), F.col("a").alias("rep"))
+        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("centre", "rep", F.coalesce("root", "rep").alias("root"))
+        .join(narrow.select("rep", "n_shingles"), "rep")
+    )
+    by_root = around.groupBy("centre", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
+    apart = by_root.groupBy("centre").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("size").alias("size"))
+    apart = apart.where("roots > 1").select("centre", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    block = around.join(apart, "centre").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
+    block = block.select("centre", "rep", "root", "main", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    block = block.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("doc_id"), "root", (F.col("root") == F.col("main")).alias("main"))
+    rest = saved(block.join(texts, "doc_id").groupBy("centre", "i", "j").applyInArrow(_between(percent), star.schema).distinct())
 
     roots = components(links.unionByName(rest).unionByName(own))
     return (
