@@ -139,7 +139,8 @@ def _between(percent: int):
         for x in np.flatnonzero(~main):
             own = members[first[x] : first[x + 1]]
             marked[own] = 1
-            both = np.add.reduceat(marked[members], first[:-1])
+            running = np.concatenate([[0], np.cumsum(marked[members])])
+            both = running[first[1:]] - running[first[:-1]]
             marked[own] = 0
             good = (roots != roots[x]) & (100 * both >= percent * (size + size[x] - both))
             if two:  # pairs within a block are looked at elsewhere
