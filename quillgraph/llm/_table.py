@@ -15,19 +15,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in spark.checkpoint.dir, which all executors share.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir.
 
-    Only where that setting is absent, as in tests on one machine, a folder of our own is used.
+    Only where that setting is absent, as in tests on one machine, a folder of our own is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir", None)
+    if folder is None and not context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context._jsc.sc().getCheckpointDir().get()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
         context.setCheckpointDir(folder)
+    return folder
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in spark.checkpoint.dir."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from quillgraph.llm.decontamination import ORACLE_OP6, op6_decontamination
 from quillgraph.llm.near_dedup import ORACLE_OP9, op9_hyperminhash
+from quillgraph.llm.pii import op10_bootstrapped_pii
+from quillgraph.llm.sentencepiece_codec import op5_streaming_viterbi
 from quillgraph.llm.sharding import op3_prefix_shards
 from quillgraph.llm.toxicity import op1_toxicity
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_prefix_shards": op3_prefix_shards,
+    "op5_streaming_viterbi": op5_streaming_viterbi,
     "op6_decontamination": op6_decontamination,
     "op9_hyperminhash": op9_hyperminhash,
+    "op10_bootstrapped_pii": op10_bootstrapped_pii,
 }
 
 ORACLE_SQL = {
