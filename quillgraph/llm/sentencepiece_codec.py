@@ -29,7 +29,7 @@ from quillgraph.llm._table import table
 from quillgraph.llm._text import _INV, _POW, mix, utf8
 
 SPACE = "▁"
-CACHE = 200_000
+CACHE = 100_000
 SHORT = 32
 _CELLS = 1 << 20
 
@@ -371,16 +371,28 @@ def _vocabulary(path: str) -> tuple[list[tuple[str, float, int]], np.ndarray]:
     return codec.pieces, codec.alone
 
 
+_CODECS: dict[int, Codec] = {}
+
+
+def _codec(held) -> Codec:
+    """The worker's codec of a broadcast vocabulary, with its caches, kept from task to task."""
+    key = id(held.value)
+    if key not in _CODECS:
+        _CODECS.clear()
+        _CODECS[key] = Codec(*held.value)
+    return _CODECS[key]
+
+
 def _encoder(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*held.value)
+        codec = _codec(held)
         for batch in batches:
             names = batch.schema.names
             kept = [n for n in names if n != "ids"]
             _, at = utf8(batch.column(names.index("text")))
             lo = 0
             while lo < batch.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 20), "right")) - 1)
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + (1 << 18), "right")) - 1)
                 part = batch.slice(lo, hi - lo)
                 coded, offsets = codec.encode_batch([t or "" for t in part.column(names.index("text")).to_pylist()])
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(coded))
@@ -399,7 +411,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
 
 def _decoder(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(*held.value)
+        codec = _codec(held)
         for batch in batches:
             names = batch.schema.names
             kept = [n for n in names if n != "decoded"]
@@ -423,18 +435,26 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(2)
-        n = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-        sums = [hashlib.sha256(x.values.to_numpy().astype("<i4").tobytes()).hexdigest() for x in ids]
-        same = [(a or "") == b for a, b in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(sums), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_sha256", "round_trip"])
+def _round_trip(held):
+    """Encodes and decodes in one pass, so that each core has one Python worker with one vocabulary."""
+    encoder = _encoder(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(held)
+        for batch in encoder(batches):
+            ids = batch.column(2)
+            bounds, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            parts = [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            same = [(t or "") == codec.decode(p) for t, p in zip(batch.column(1).to_pylist(), parts, strict=True)]
+            sums = [hashlib.sha256(p.astype("<i4").tobytes()).hexdigest() for p in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds).astype(np.int64)), pa.array(sums, pa.string()), pa.array(same, pa.bool_())], ["doc_id", "n_ids", "ids_sha256", "round_trip"])
+
+    return run
 
 
 def op5_streaming_viterbi(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids_sha256 (of the ids as little-endian int32), round_trip (decoding gives the text again)."""
     path = model_path or default_model()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, path), path).select("doc_id", "text", "ids", "decoded")
-    return both.mapInArrow(_digest, T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_ids long, ids_sha256 string, round_trip boolean").fields]))
+    held = spark.sparkContext.broadcast(_vocabulary(path))
+    return docs.mapInArrow(_round_trip(held), T.StructType([docs.schema["doc_id"], *T._parse_datatype_string("n_ids long, ids_sha256 string, round_trip boolean").fields]))
