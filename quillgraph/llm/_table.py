@@ -39,6 +39,16 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``df`` with columns of these names under others, so that an operator's own can't clash with them."""
+    return df.withColumnsRenamed({c: f"_own_{c}" for c in df.columns if c in names})
+
+
+def put_back(df: DataFrame, columns: list[str], names: tuple[str, ...]) -> DataFrame:
+    """The columns of the table before :func:`set_aside`."""
+    return df.select(*(F.col(f"_own_{c}" if c in names else c).alias(c) for c in columns))
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node that each node of ``links`` (a, b) reaches, by small-star/large-star rounds.
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm._table import saved, table
+from quillgraph.llm._table import put_back, saved, set_aside, table
 from quillgraph.llm._text import ALNUM, Words, blocks
 
 WIDTH = 10
@@ -166,8 +166,9 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WID
 
     Documents without hits stay as they are, empty and null ones too.
     """
-    found = find_contamination(docs, benchmark, width).where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words")))
-    return found.mapInArrow(_cutter, docs.schema)
+    names = ("n_words", "n_hit", "spans", "items")
+    found = find_contamination(set_aside(docs, names), benchmark, width).where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words")))
+    return put_back(found.mapInArrow(_cutter, set_aside(docs, names).schema), docs.columns, names)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm._table import saved, table
+from quillgraph.llm._table import put_back, saved, set_aside, table
 from quillgraph.llm._text import SPACED, Words, blocks, mix
 
 KINDS = ("email", "ip", "card", "phone", "context")
@@ -275,7 +275,7 @@ def find_pii(docs: DataFrame, mask: bool = False, max_hashes: int = MAX_HASHES)
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by marks; all columns and rows stay, n_chars follows the text."""
-    out = find_pii(docs, mask=True).drop("spans")
+    out = put_back(find_pii(set_aside(docs, ("spans",)), mask=True), docs.columns, ("spans",))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

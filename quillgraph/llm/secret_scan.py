@@ -1,16 +1,17 @@
 """Secret scans: a battery of randomness tests, in SQL functions only.
 
 Secrets of known form (assignments, access keys, hexadecimal runs) are found by pattern. Beyond these, every run of 20 or
-more letters, digits and + / = _ - that has a digit or inner capital is a candidate. Its encoding is inferred from its characters; under that encoding
+more letters, digits and + / _ - that has a digit or inner capital is a candidate. Its encoding is inferred from its characters; under that encoding
 three tests ask whether it could be uniformly random: chi-squared over the alphabet, the number of runs
 above and below the alphabet's middle, and lag-1 serial correlation. Their p-values are combined by Fisher's method;
 a candidate that is not random by the battery is no secret.
 
 Short text may look random by luck. How text behaves is measured over all documents: the chance that two characters of
 a candidate of letters alone are equal. Against it, a candidate's chi-squared statistic has a non-central
-distribution that moves away from the uniform one in proportion to the candidate's length; the lower tail is its p-value
-as text, and those pass the Benjamini-Hochberg rule over all candidates of an encoding and class of length. Its
-threshold comes from counts of p-values in fine bins.
+distribution that moves away from the uniform one in proportion to the candidate's length, of which the lower tail counts;
+and text keeps its digits together, so that changes between digits and others are few for its length, of which the upper
+tail counts. The two make the p-value as text, again by Fisher's method, and those pass the Benjamini-Hochberg rule over
+all candidates of an encoding and class of length. Its threshold comes from counts of p-values in fine bins.
 """
 
 from __future__ import annotations
@@ -27,11 +28,13 @@ _ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][
 _ACCESS = "AKIA[A-Z0-9]{14,}"
 _HEX = "[0-9a-f]{16,}"
 SHORTEST = 20
-_CLASS = "[A-Za-z0-9+/=_-]"
+_CLASS = "[A-Za-z0-9+/_-]"
 #: Whole runs that aren't words by their look: they have a digit, or a capital after a small letter.
-_CANDIDATE = f"(?<!{_CLASS})(?={_CLASS}*?(?:[0-9]|[a-z][A-Z])){_CLASS}{{{SHORTEST},}}"
+_CANDIDATE = f"(?<!{_CLASS})(?={_CLASS}*?(?:[0-9]|[a-z][A-Z])){_CLASS}{{{SHORTEST},}}={{0,2}}"
 #: The battery's level, and the false discovery rate.
 ALPHA, FDR = 0.001, 0.01
+#: Characters between changes from digits to others or back in text-like tokens, on average, at least.
+TEXT_STRETCH = 8
 #: p-values are binned by tenths of their natural logarithm, down to e^-60.
 _BINS = 600
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
@@ -92,7 +95,8 @@ def battery(tokens: Column) -> Column:
         for e, _, a in ENCODINGS:
             halves = F.when(x["encoding"] == e, F.translate(x["body"], a, "0" * (len(a) // 2) + "1" * (len(a) - len(a) // 2))).otherwise(halves)
         alphabet = _by_encoding(x["encoding"], [a for _, _, a in ENCODINGS])
-        return _added(x, size=_by_encoding(x["encoding"], [float(len(a)) for _, _, a in ENCODINGS]), squares=squares, halves=halves, alphabet=alphabet)
+        plain = F.translate(x["body"], _DIGITS + _UPPER + _LOWER + "+/-_", "0" * 10 + "1" * 56)
+        return _added(x, size=_by_encoding(x["encoding"], [float(len(a)) for _, _, a in ENCODINGS]), squares=squares, halves=halves, alphabet=alphabet, plain=plain)
 
     def statistics(x: Column) -> Column:
         n, size = x["n"], x["size"]
@@ -103,6 +107,7 @@ def battery(tokens: Column) -> Column:
             chi2=x["squares"] * size / F.greatest(n, F.lit(1.0)) - n,
             ones=F.length(F.replace(x["halves"], F.lit("0"), F.lit(""))).cast("double"),
             changes=(n * 2 - F.length(F.replace(x["halves"], F.lit("01"), F.lit(""))) - F.length(F.replace(x["halves"], F.lit("10"), F.lit("")))) / 2,
+            mixed=(n * 2 - F.length(F.replace(x["plain"], F.lit("01"), F.lit(""))) - F.length(F.replace(x["plain"], F.lit("10"), F.lit("")))) / 2,
             codes=codes,
         )
 
@@ -142,8 +147,9 @@ def _text_bin(test: Column, kappa: float) -> Column:
     away = F.greatest(test["size"] * rival - 1, F.lit(0.05)) * test["n"]
     df = test["size"] - 1
     z = (test["chi2"] - df - away) / F.sqrt(2 * (df + 2 * away))
-    p = _tail(-z)
-    return F.least(F.floor(-10 * F.log(F.greatest(p, F.lit(1e-30)))), F.lit(_BINS)).cast("int")
+    changes = 2 * (F.sqrt(test["mixed"] + 0.375) - F.sqrt(test["n"] / TEXT_STRETCH))  # of a Poisson count, about normal
+    half = -F.log(F.greatest(_tail(-z), F.lit(1e-30))) - F.log(F.greatest(_tail(changes), F.lit(1e-30)))
+    return F.least(F.floor(10 * (half - F.log1p(half))), F.lit(_BINS)).cast("int")
 
 
 def thresholds(docs: DataFrame) -> tuple[float, dict[tuple[str, int], int]]:

@@ -1,10 +1,11 @@
 """Toxicity: gradient-boosted trees over dense features, calibrated by isotonic regression.
 
 The features of a text are densities of lexicon words (whole words and word beginnings, learned from labelled
-training texts), nearness of second-person words to them, and rates of capitals, punctuation, digits, repeats and
+training texts, a few known insults first), nearness of second-person words to them, and rates of capitals, punctuation, digits, repeats and
 obfuscation (letters written as digits or signs, or parted by signs). All are computed from the text's bytes for a
-whole batch at once. A bounded sample of labelled rows is split by document in three: for the lexicon, the trees
-and the calibration. The model is a few arrays that every executor holds.
+whole batch at once. A bounded sample of labelled rows is split by document in halves: each half's features come
+from the other's lexicon, and its margins for the calibration from trees fitted on the other; the model itself has
+the lexicon and trees of all. It is a few arrays that every executor holds.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm._table import table
+from quillgraph.llm._table import saved, table
 from quillgraph.llm._text import _POW, ALNUM, WordClass, Words, blocks, mix
 
 #: Labelled rows that the model is fitted on, at most; words of each lexicon, at most.
@@ -27,6 +28,8 @@ MAX_WORDS = 4096
 PREFIXES = (4, 6)
 #: Second-person words of the languages at hand.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes tus su vosotros".split()
+#: Insults that the lexicon of whole words begins with; the rest is learned.
+SEEDS = "idiot idiots idiotic moron morons stupid dumb loser losers scum trash garbage pathetic worthless disgusting clown fool imbecile jerk ugly freak vermin filth dummkopf arschloch abschaum crétin imbécile connard ordure estúpido basura escoria".split()
 #: Digits and signs that stand for letters.
 LOOKALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _SIGNS = b"\"#%&'()*+,-./:;<=>?[\\]^_`{|}~"
@@ -39,6 +42,7 @@ def _word_hash(word: str) -> int:
     return int(Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM).hash[0])
 
 
+_SEEDS = np.array([_word_hash(w) for w in SEEDS], np.uint64)
 _YOU = np.array(sorted(_word_hash(w) for w in SECOND_PERSON), np.uint64)
 
 
@@ -237,31 +241,36 @@ class Toxicity:
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, term, toxic texts, clean texts) of each batch's texts, each term once a text."""
+    """(kind, half, term, toxic texts, clean texts) of each batch's texts, each term once a text."""
     for batch in batches:
-        label = batch.column(1).to_numpy()
+        label, half = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         for lo, hi, data, at in blocks(batch.column(0), 4 << 20):
             words = Words(data, at, ALNUM)
             for kind, terms in enumerate(_terms(words)):
-                pairs = np.unique(np.stack([words.doc.astype(np.uint64), terms], axis=1)[terms != 0], axis=0)
-                if not len(pairs):
-                    continue
-                found, at_term = np.unique(pairs[:, 1], return_inverse=True)
-                toxic = np.bincount(at_term, label[lo:hi][pairs[:, 0].astype(np.int64)], len(found)).astype(np.int64)
-                total = np.bincount(at_term, minlength=len(found))
-                some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(some), kind, np.int32)), pa.array(found[some].view(np.int64)), pa.array(toxic[some]), pa.array((total - toxic)[some])],
-                    ["kind", "term", "toxic", "clean"],
-                )
+                for h in (0, 1):
+                    mine = (terms != 0) & (half[lo:hi][words.doc] == h)
+                    pairs = np.unique(np.stack([words.doc.astype(np.uint64), terms], axis=1)[mine], axis=0)
+                    if not len(pairs):
+                        continue
+                    found, at_term = np.unique(pairs[:, 1], return_inverse=True)
+                    toxic = np.bincount(at_term, label[lo:hi][pairs[:, 0].astype(np.int64)], len(found)).astype(np.int64)
+                    total = np.bincount(at_term, minlength=len(found))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(found), kind, np.int32)), pa.array(np.full(len(found), h, np.int64)), pa.array(found.view(np.int64)), pa.array(toxic), pa.array(total - toxic)],
+                        ["kind", "half", "term", "toxic", "clean"],
+                    )
 
 
 def _measure(held):
+    """Features by the lexicon of the other half."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = held.value
         for batch in batches:
+            half = batch.column(2).to_numpy()
             for lo, hi, data, at in blocks(batch.column(0)):
-                yield pa.RecordBatch.from_arrays([*(batch.column(i)[lo:hi] for i in (1, 2)), pa.array(list(features(data, at, lexicon)), pa.list_(pa.float64()))], ["label", "fold", "x"])
+                both = [features(data, at, lexicon) for lexicon in held.value]
+                x = np.where((half[lo:hi] == 0)[:, None], both[1], both[0])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i)[lo:hi] for i in (1, 2)), pa.array(list(x), pa.list_(pa.float64()))], ["label", "half", "x"])
 
     return run
 
@@ -274,33 +283,36 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
     """
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label")).dropDuplicates(["doc_id"])
-    chosen = known.withColumn("draw", F.xxhash64(F.col("doc_id"), F.lit("toxicity"))).orderBy("draw", "doc_id").limit(max_rows).withColumn("fold", F.pmod("draw", F.lit(10)))
+    chosen = known.withColumn("draw", F.xxhash64(F.col("doc_id"), F.lit("toxicity"))).orderBy("draw", "doc_id").limit(max_rows).select("doc_id", "label", F.pmod("draw", F.lit(2)).alias("half"))
     # at most max_rows narrow rows
-    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label", "fold")), "doc_id").select("text", "label", "fold").persist()
-    counts = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    prior = counts.get(1, 0) / max(1, sum(counts.values()))
-    words = sample.where("fold < 4").select("text", "label").mapInArrow(_label_counts, "kind int, term long, toxic long, clean long")
-    total = {r.label: r.n for r in sample.where("fold < 4").groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    clean_share = max(1, total.get(0, 0)) / max(1, total.get(1, 0))
-    lift = (F.col("toxic") + 0.5) * clean_share / (F.col("clean") + 0.5)
-    best = words.groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= 3) & (lift >= 5)).withColumn("weight", F.log(lift) * F.col("toxic"))
-    lexicon = []
-    for kind in range(_TERM_KINDS):
-        rows = best.where(F.col("kind") == kind).orderBy(F.desc("weight"), "term").limit(MAX_WORDS).select("term").collect()
-        lexicon.append(np.sort(np.array([r.term for r in rows], np.int64).view(np.uint64)))
-    held = spark.sparkContext.broadcast(lexicon)
-    rows = sample.where("fold >= 4").select("text", "label", "fold").mapInArrow(_measure(held), "label int, fold long, x array<double>").collect()
-    sample.unpersist()
+    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "half")
+    counts = {(r.half, r.label): r.n for r in sample.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    prior = sum(n for (_, label), n in counts.items() if label == 1) / max(1, sum(counts.values()))
+    seen = saved(sample.mapInArrow(_label_counts, "kind int, half long, term long, toxic long, clean long").groupBy("kind", "half", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+
+    def lexicon(halves: tuple[int, ...]) -> list[np.ndarray]:
+        toxic, clean = (sum(n for (h, label), n in counts.items() if h in halves and label == k) for k in (1, 0))
+        lift = (F.col("toxic") + 0.5) * (max(1, clean) / max(1, toxic)) / (F.col("clean") + 0.5)
+        terms = seen.where(F.col("half").isin(*halves)).groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= 3) & (lift >= 5))
+        best = Window.partitionBy("kind").orderBy(F.desc(F.log(lift) * F.col("toxic")), "term")
+        rows = terms.withColumn("place", F.row_number().over(best)).where(F.col("place") <= MAX_WORDS).select("kind", "term").collect()
+        found = [np.array([r.term for r in rows if r.kind == k], np.int64).view(np.uint64) for k in range(_TERM_KINDS)]
+        return [np.unique(np.concatenate([found[0], _SEEDS])), *(np.sort(x) for x in found[1:])]
+
+    held = spark.sparkContext.broadcast([lexicon((0,)), lexicon((1,))])
+    every = lexicon((0, 1))
+    rows = sample.mapInArrow(_measure(held), "label int, half long, x array<double>").collect()
     x = np.array([r.x for r in rows]).reshape(-1, N_FEATURES)
-    y, fold = np.array([r.label for r in rows], float), np.array([r.fold for r in rows])
+    y, half = np.array([r.label for r in rows], float), np.array([r.half for r in rows])
     order = np.lexsort((*x.T, y))  # the same model whatever order rows arrive in
-    x, y, fold = x[order], y[order], fold[order]
-    a, b = fold < 8, fold >= 8
-    if len(np.unique(y[a])) < 2 or not b.any():
-        return Toxicity(lexicon, None, np.zeros(0), np.zeros(0), prior)
-    trees = fit_trees(x[a], y[a])
-    ends, levels = fit_isotonic(trees.margin(x[b]), y[b])
-    return Toxicity(lexicon, trees, ends, levels, prior)
+    x, y, half = x[order], y[order], half[order]
+    if any(len(np.unique(y[half == h])) < 2 for h in (0, 1)):
+        return Toxicity(every, None, np.zeros(0), np.zeros(0), prior)
+    margin = np.empty(len(y))
+    for h in (0, 1):
+        margin[half == h] = fit_trees(x[half != h], y[half != h]).margin(x[half == h])
+    ends, levels = fit_isotonic(margin, y)
+    return Toxicity(every, fit_trees(x, y), ends, levels, prior)
 
 
 def _scorer(held):
