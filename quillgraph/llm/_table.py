@@ -10,8 +10,17 @@ from pyspark.sql import functions as F
 from quillgraph._ship import ship
 
 
+#: Rows and bytes of an Arrow batch: a Python worker holds a few of them, whatever the length of texts.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``. Makes the package importable on executors and bounds the session's Arrow batches."""
     ship(spark)
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

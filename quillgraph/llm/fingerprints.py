@@ -259,7 +259,9 @@ def compare_with_next(docs: DataFrame, ranks: np.ndarray, per_part: int = 64) ->
     if first is None:
         return of.select("doc_id").withColumns({"n_chars": F.lit(0).cast("long"), "edited_sha256": F.lit(""), "fingerprint": F.lit(""), "edited_fingerprint": F.lit(""), "near_edited": F.lit(0.0), "near_next": F.lit(0.0)})
     # per_part ids of each range at most; each bound is one of them
-    drawn = np.sort(np.array([r.doc_id for r in of.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(parts * per_part).collect()], np.int64))
+    share = min(1 << 20, 2 + 2 * parts * per_part * (1 << 20) // max(1, of.count()))  # about twice as many by hash, so that tasks send few
+    sampled = of.select("doc_id").where(F.pmod(F.xxhash64("doc_id", F.lit("range")), F.lit(1 << 20)) < share)
+    drawn = np.sort(np.array([r.doc_id for r in sampled.orderBy(F.xxhash64("doc_id"), "doc_id").limit(parts * per_part).collect()], np.int64))
     bounds = np.unique(drawn[per_part::per_part])
     bounds = bounds[bounds > first]
     placed = of.mapInArrow(_placer(bounds, int(first)), "doc_id long, text string, part int, guest boolean")
