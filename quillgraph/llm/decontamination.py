@@ -129,6 +129,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     and documents count each. Columns of ``docs`` with the result's names are replaced. With an empty benchmark
     nothing is hit.
     """
+    return _scanned(docs, benchmark, width, max_windows)
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, max_windows: int, drop_share: float | None = None) -> DataFrame:
+    """What :func:`find_contamination` gives; with ``drop_share``, ``docs`` cut by it in the same pass over the texts."""
     spark = docs.sparkSession
     keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "spans", "items")]
     docs = docs.select(*keep)
@@ -140,13 +145,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     out = docs
     for k in range(parts):
         rows = windows.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).collect()  # about max_windows at most
-        held = spark.sparkContext.broadcast(_WindowSet(rows))
-        out = out.mapInArrow(_scanner(held, k > 0), schema)
+        scan = _scanner(spark.sparkContext.broadcast(_WindowSet(rows)), k > 0)
+        cuts = drop_share is not None and k == parts - 1
+        out = out.mapInArrow(_cutting(scan, drop_share), docs.schema) if cuts else out.mapInArrow(scan, schema)
         if parts > 1:
             out = saved(out)
     return out
 
 
+def _cutting(scan, drop_share: float):
+    """The scan, then the cut, in one Python worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in scan(batches):
+            words, hit = (batch.column(batch.schema.names.index(n)).to_numpy() for n in ("n_words", "n_hit"))
+            yield from _cutter(iter([batch.filter(pa.array((hit == 0) | (hit < drop_share * words)))]))
+
+    return run
+
+
 def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
@@ -167,8 +184,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WID
     Documents without hits stay as they are, empty and null ones too.
     """
     names = ("n_words", "n_hit", "spans", "items")
-    found = find_contamination(set_aside(docs, names), benchmark, width).where((F.col("n_hit") == 0) | (F.col("n_hit") < drop_share * F.col("n_words")))
-    return put_back(found.mapInArrow(_cutter, set_aside(docs, names).schema), docs.columns, names)
+    return put_back(_scanned(set_aside(docs, names), benchmark, width, MAX_WINDOWS, drop_share), docs.columns, names)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
