@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm._table import table
+from quillgraph.llm._table import saved, table
 from quillgraph.llm._text import SPACED, Words, blocks, mix
 
 WORDS, SENTENCES = 20, 2
 _LONG, _PIECE = 24, 12
+#: A span that more rows have than this, and than one in HOT_SPANS of all repeated rows, is dealt to several tasks.
+HOT_ROWS, HOT_SPANS = 10_000, 10_000
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
 
@@ -88,13 +90,22 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, first, n): spans of sentences that repeat an earlier one; rows with a null doc_id take no part."""
+def repeated_spans(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(doc_id, first, n): spans of sentences that repeat an earlier one; rows with a null doc_id take no part.
+
+    The rows of a hash that more than ``hot_rows`` have are joined in parts of about that many.
+    """
     of = docs.where("doc_id is not null").select("doc_id", "text")
     spans = of.mapInArrow(_spans, T.StructType([T.StructField("hash", T.LongType()), of.schema["doc_id"], T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())]))
     # counted and the first found before rows of a hash meet, so that a common span is no hot key here
-    shared = spans.groupBy("hash").agg(F.min(F.struct("doc_id", "first")).alias("kept"), F.max(F.struct("doc_id", "first")).alias("last")).where("kept <> last").select("hash", "kept")
-    return spans.join(shared, "hash").where(F.struct("doc_id", "first") != F.col("kept")).select("doc_id", "first", "n")
+    place = F.struct("doc_id", "first")
+    shared = saved(spans.groupBy("hash").agg(F.min(place).alias("kept"), F.max(place).alias("last"), F.count(F.lit(1)).alias("rows")).where("kept <> last").select("hash", "kept", "rows"))
+    limit = max(hot_rows, (shared.agg(F.sum("rows")).first()[0] or 0) // HOT_SPANS)
+    shared = shared.select("hash", "kept", F.ceil(F.col("rows") / limit).cast("int").alias("parts"))
+    hot = shared.where("parts > 1").select("hash", "parts")  # fewer than HOT_SPANS rows by the limit
+    dealt = spans.join(F.broadcast(hot), "hash", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "first"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    shared = shared.select("hash", "kept", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return dealt.join(shared, ["hash", "part"]).where(place != F.col("kept")).select("doc_id", "first", "n")
 
 
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
