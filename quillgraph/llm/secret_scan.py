@@ -37,6 +37,8 @@ ALPHA, FDR = 0.001, 0.01
 TEXT_STRETCH = 8
 #: p-values are binned by tenths of their natural logarithm, down to e^-60.
 _BINS = 600
+#: Matches of one text that are added up in one go.
+_CHUNK = 256
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Alphabets in the order they are tried: name, pattern, characters, and whether it needs digits and letters to be inferred.
 ENCODINGS = [
@@ -180,11 +182,16 @@ def thresholds(docs: DataFrame) -> tuple[float, dict[tuple[str, int], int]]:
 
 
 def _matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
-    """Array of (kind, start, end, token) of leftmost matches: lengths of what lies between them, added up."""
+    """Array of (kind, start, end, token) of leftmost matches: lengths of what lies between them, added up.
+
+    An aggregate copies what it gathered at every step, so that they are added up in chunks of ``_CHUNK`` and these
+    put together: m matches cost m * _CHUNK + m * m / _CHUNK rather than m * m.
+    """
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,token:string>>")
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     lengths = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("g"), F.length(m).alias("m"), m.alias("token")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,token:string>>").alias("spans"))
+    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["g"]
@@ -192,8 +199,17 @@ def _matches(text: Column, pattern: str, kind: str, keep=None) -> Column:
         good = keep(x["token"]) if keep else F.lit(True)
         return F.struct((begin + x["m"]).alias("at"), F.when(good, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
 
-    spans = F.aggregate(lengths, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int,token:string>>"))
+    def join(acc: Column, chunk: Column) -> Column:
+        moved = F.transform(chunk["spans"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + acc["at"]).alias("start"), (s["end"] + acc["at"]).alias("end"), s["token"].alias("token")))
+        return F.struct((acc["at"] + chunk["at"]).alias("at"), F.concat(acc["spans"], moved).alias("spans"))
+
+    def in_chunks(every: Column) -> Column:
+        numbers = F.sequence(F.lit(0), F.floor((F.size(every) - 1) / _CHUNK).cast("int"))
+        chunks = F.transform(numbers, lambda k: F.aggregate(F.slice(every, k * _CHUNK + 1, F.lit(_CHUNK)), start, step))
+        return F.aggregate(chunks, start, join, lambda acc: acc["spans"])
+
+    # the array of one binds the lengths, so that they are found once rather than once a chunk
+    return F.when(text.rlike(pattern), F.transform(F.array(lengths), in_chunks)[0]).otherwise(none)
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
