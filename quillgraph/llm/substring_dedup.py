@@ -4,6 +4,11 @@ A sentence ends with a word that ends in . ! or ?, or with its line; one of more
 From each sentence a span runs over the next ones until it has two sentences and ``WORDS`` words. The spans' hashes of
 all documents are joined; of equal spans the first, by doc_id and place, stays, and the sentences that any other
 covers go. Hashes are of words without regard to white space and ASCII capitals.
+
+So that a passage is found wherever it stands in a sentence, runs of ``RUN`` words at places that the words themselves
+decide are joined too: of each ``NEAR`` successive runs of a text, that with the smallest hash. Any ``RUN`` + ``NEAR`` - 1
+words that repeat share a run, and the words of all but the first go; of a longer repeat at most ``NEAR`` - 1 words stay
+at either end.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from quillgraph.llm._text import SPACED, Words, blocks, mix
 
 WORDS, SENTENCES = 20, 2
 _LONG, _PIECE = 24, 12
+#: A single sentence of up to _LONG words may repeat, so runs are longer.
+RUN, NEAR = _LONG + 1, 16
 #: A span that more rows have than this, and than one in HOT_SPANS of all repeated rows, is dealt to several tasks.
 HOT_ROWS, HOT_SPANS = 10_000, 10_000
 _ENDS = np.zeros(256, bool)
@@ -59,13 +66,30 @@ class _Sentences:
         end = np.maximum(np.searchsorted(self.first, self.first[:-1] + WORDS, "left"), begin + SENTENCES)
         good = end <= self.bounds[1:][self.doc]
         begin, end = begin[good], end[good]
+        return begin, end, self._hash(self.first[begin], self.first[end])
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(first word, hash) of the runs of words that stand for their neighbourhoods."""
+        lo = np.arange(max(0, len(self.words) - RUN + 1))
+        lo = lo[self.words.doc[lo] == self.words.doc[lo + RUN - 1]]
+        hashes = self._hash(lo, lo + RUN) ^ _RUNS
+        if len(lo) < NEAR:
+            return lo[:0], hashes[:0]
+        least = np.arange(len(lo) - NEAR + 1) + np.lib.stride_tricks.sliding_window_view(hashes, NEAR).argmin(axis=1)
+        doc = self.words.doc[lo]
+        chosen = np.unique(least[doc[: len(least)] == doc[NEAR - 1 :]])
+        return lo[chosen], hashes[chosen]
+
+    def _hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Hashes of words lo:hi."""
         # sums of scrambled word hashes weighted by odd powers, the same wherever the span stands
         weight, inverse = _powers_of(len(self.words))
         total = np.concatenate([[np.uint64(0)], np.cumsum(self.words.hash * weight)])
-        lo, hi = self.first[begin], self.first[end]
-        return begin, end, mix((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
+        return mix((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
 
 
+#: Sets the hashes of runs apart from those of spans.
+_RUNS = np.uint64(0xA24BAED4963EE407)
 _STEP = 0xD6E8FEB86659FD93
 _cache: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -85,13 +109,19 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             begin, end, hashes = s.spans()
             doc = s.doc[begin]
             own = begin - s.bounds[doc]
+            word, of_runs = s.runs()
+            doc = np.concatenate([doc, s.words.doc[word]])
+            own = np.concatenate([own, word - s.words.first[s.words.doc[word]]])
+            n = np.concatenate([end - begin, np.full(len(word), -RUN)])
+            hashes = np.concatenate([hashes, of_runs])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), batch.column(0)[lo:hi].take(pa.array(doc)), pa.array(own.astype(np.int32)), pa.array((end - begin).astype(np.int32))], ["hash", "doc_id", "first", "n"]
+                [pa.array(hashes.view(np.int64)), batch.column(0)[lo:hi].take(pa.array(doc)), pa.array(own.astype(np.int32)), pa.array(n.astype(np.int32))], ["hash", "doc_id", "first", "n"]
             )
 
 
 def repeated_spans(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(doc_id, first, n): spans of sentences that repeat an earlier one; rows with a null doc_id take no part.
+    """(doc_id, first, n): n sentences, or for a negative n as many words, from the text's first on, that repeat earlier
+    ones; rows with a null doc_id take no part.
 
     The rows of a hash that more than ``hot_rows`` have are joined in parts of about that many.
     """
@@ -99,7 +129,7 @@ def repeated_spans(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     spans = of.mapInArrow(_spans, T.StructType([T.StructField("hash", T.LongType()), of.schema["doc_id"], T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())]))
     # counted and the first found before rows of a hash meet, so that a common span is no hot key here
     place = F.struct("doc_id", "first")
-    shared = saved(spans.groupBy("hash").agg(F.min(place).alias("kept"), F.max(place).alias("last"), F.count(F.lit(1)).alias("rows")).where("kept <> last").select("hash", "kept", "rows"))
+    shared = saved(spans.groupBy("hash").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
     limit = max(hot_rows, (shared.agg(F.sum("rows")).first()[0] or 0) // HOT_SPANS)
     shared = shared.select("hash", "kept", F.ceil(F.col("rows") / limit).cast("int").alias("parts"))
     hot = shared.where("parts > 1").select("hash", "parts")  # fewer than HOT_SPANS rows by the limit
@@ -108,6 +138,12 @@ def repeated_spans(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return dealt.join(shared, ["hash", "part"]).where(place != F.col("kept")).select("doc_id", "first", "n")
 
 
+def _apart(run: np.ndarray, hit: np.ndarray, sentence: np.ndarray) -> int:
+    """Sentences that lose words to repeats in which spans cover no sentence."""
+    edges = np.flatnonzero(np.diff(run.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+    return len({k for a, b in edges.tolist() if not hit[a:b].any() for k in sentence[a:b].tolist()})
+
+
 def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
@@ -120,18 +156,28 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in range(hi - lo):
                 if not cuts[lo + i].is_valid:
                     continue
-                n = int(total[lo + i])
-                out = np.zeros(n + 1, np.int64)
+                n, word = int(total[lo + i]), int(s.words.first[i])
+                n_words = int(s.words.count[i])
+                out, runs = np.zeros(n + 1, np.int64), np.zeros(n_words + 1, np.int64)
                 for c in cuts[lo + i].as_py():
-                    if c["first"] < n:
-                        out[c["first"]] += 1
-                        out[min(n, c["first"] + c["n"])] -= 1
-                hit = np.cumsum(out[:n]) > 0
-                gone[lo + i] = hit.sum()
+                    counts, most, length = (out, n, c["n"]) if c["n"] > 0 else (runs, n_words, -c["n"])
+                    if c["first"] < most:
+                        counts[c["first"]] += 1
+                        counts[min(most, c["first"] + length)] -= 1
+                hit, run = np.cumsum(out[:n]) > 0, np.cumsum(runs[:n_words]) > 0
+                first = s.first[s.bounds[i] : s.bounds[i] + n + 1] - word
+                if n:
+                    first[n] = n_words
+                sentence = np.repeat(np.arange(n), np.diff(first))
+                gone[lo + i] = hit.sum() + _apart(run, hit[sentence], sentence)
+                # a covered sentence goes as one, other words as runs; white space between them stays
+                label = np.where(hit[sentence], sentence + 1, np.where(run, -1, 0))
+                edges = np.flatnonzero(np.diff(label, prepend=0, append=0))
                 raw, pieces, done = data[at[i] : at[i + 1]], [], 0
-                for k in np.flatnonzero(hit):
-                    w = s.first[s.bounds[i] + k : s.bounds[i] + k + 2]
-                    a, b = int(s.words.start[w[0]] - at[i]), int(s.words.end[w[1] - 1] - at[i])
+                for p, q in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                    if not label[p]:
+                        continue
+                    a, b = int(s.words.start[word + p] - at[i]), int(s.words.end[word + q - 1] - at[i])
                     pieces.append(raw[done:a].tobytes())
                     done = b
                 texts[lo + i] = b"".join([*pieces, raw[done:].tobytes()]).decode()
@@ -142,12 +188,13 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` without repeated spans, with n_sentences (before) and n_removed; columns of those names are replaced.
+    """``docs`` without repeated spans and runs, with n_sentences (before) and n_removed; columns of those names are replaced.
 
+    n_removed counts, of each repeat, the sentences that spans cover or, where they cover none, those that lose words.
     Null and empty texts stay as they are. Rows sharing a doc_id count as one document and get the same cuts.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("n_sentences", "n_removed", "_cuts")])
-    # a document's cuts, neighbouring spans merged by the set; no more than it has sentences
+    # a document's cuts, neighbouring spans merged by the set; no more than it has sentences and words
     cuts = repeated_spans(docs).groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("_cuts"))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
     return docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts").mapInArrow(_remover, schema)
