@@ -4,7 +4,8 @@ Seed entities are e-mail addresses, IP addresses, card and phone numbers found b
 them induce lexical patterns (the word before, the two words before, the word after). Spark scores the graph of
 patterns and instances iteratively: a pattern's score is the share of all its places in the corpus that hold
 identifiers believed so far, an instance's is the noisy-or of the patterns it stands in. Tokens with digits that
-aren't seeds, and that high-confidence patterns vouch for, are unseen identifiers; they are found wherever they stand.
+aren't seeds, and that high-confidence patterns vouch for, are unseen identifiers; they are found wherever they stand. Identifiers found
+prove further patterns, until neither the identifiers nor their scores change.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ from quillgraph.llm._table import put_back, saved, set_aside, table
 from quillgraph.llm._text import SPACED, Words, blocks, mix
 
 KINDS = ("email", "ip", "card", "phone", "context")
-ROUNDS = 3
+#: Scores have settled when a round adds less than this to all of them together.
+SETTLED = 1e-6
 #: Distinct believed instances that a pattern needs, and the confidence that patterns and instances need.
 SUPPORT, CONFIDENCE = 3, 0.6
 #: Digits of a token that may be an unseen identifier, at least.
@@ -194,9 +196,8 @@ def learn(docs: DataFrame, max_hashes: int = MAX_HASHES) -> DataFrame:
     edges = saved(of.mapInArrow(_edges, "pattern long, instance long, seed boolean").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")))
     # a token seen as a seed anywhere is one
     seeds = edges.where("seed").select("instance").distinct()
-    support = edges.where("seed").groupBy("pattern").agg(F.count(F.lit(1)).alias("support")).where(F.col("support") >= SUPPORT)
-    # only patterns that some candidate stands in can find anything
-    useful = saved(support.join(edges.where("not seed").select("pattern").distinct(), "pattern", "left_semi").select("pattern"))
+    # only patterns that some candidate stands in can find anything, and only those of enough instances, whatever these are
+    useful = saved(edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("support"), F.min("seed").alias("seed")).where((F.col("support") >= SUPPORT) & ~F.col("seed")).select("pattern"))
     places: DataFrame | None = None
     for part in _in_turn(useful, "pattern", max_hashes):
         held = spark.sparkContext.broadcast(part)
@@ -206,7 +207,9 @@ def learn(docs: DataFrame, max_hashes: int = MAX_HASHES) -> DataFrame:
         return spark.createDataFrame([], "instance long")
     graph = saved(edges.join(places, "pattern").select("pattern", "instance", "n", "places"))
     believed = saved(seeds.select("instance", F.lit(1.0).alias("belief")))
-    for _ in range(ROUNDS):
+    # beliefs only grow from round to round, and none beyond 1
+    before = believed.agg(F.count(F.lit(1)), F.sum("belief")).first()
+    while True:
         patterns = (
             graph.join(believed, "instance")
             .groupBy("pattern")
@@ -214,7 +217,12 @@ def learn(docs: DataFrame, max_hashes: int = MAX_HASHES) -> DataFrame:
             .where((F.col("score") >= CONFIDENCE) & (F.col("support") >= SUPPORT))
         )
         vouched = graph.join(patterns, "pattern").groupBy("instance").agg((1 - F.exp(F.sum(F.log(1 - F.least("score", F.lit(0.999)))))).alias("belief")).where(F.col("belief") >= CONFIDENCE)
-        believed = saved(seeds.select("instance", F.lit(1.0).alias("belief")).unionByName(vouched.join(seeds, "instance", "left_anti")))
+        # the greater of old and new, which differ the other way by rounding alone
+        believed = saved(believed.unionByName(vouched).groupBy("instance").agg(F.max("belief").alias("belief")))
+        now = believed.agg(F.count(F.lit(1)), F.sum("belief")).first()
+        if now[0] == before[0] and now[1] - before[1] < SETTLED:
+            break
+        before = now
     return believed.join(seeds, "instance", "left_anti").select("instance")
 
 
