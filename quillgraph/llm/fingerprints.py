@@ -2,7 +2,7 @@
 
 Every run of 64 bytes of a text is ranked by how rare its entropy is among all windows of the corpus; in each
 neighbourhood of 64 windows the rarest (the first of equals) gets a point, and windows with 16 points or more are the
-text's features. Their hashes go into Bloom filters of 2048 bits, five bits each, a new filter after 160 features.
+text's features; where none has so many, those with the most are. Their hashes go into Bloom filters of 2048 bits, five bits each, a new filter after 160 features.
 Likeness is the filters' bit overlap beyond what chance gives, each filter of the shorter chain against its best
 match in the other, averaged.
 
@@ -93,7 +93,10 @@ def features(data: np.ndarray, at: np.ndarray, ranks: np.ndarray) -> tuple[np.nd
         text = np.repeat(many, whole[many])
         starts = np.flatnonzero(np.concatenate([[True], (winner[1:] != winner[:-1]) | (text[1:] != text[:-1])])) if len(winner) else np.zeros(0, np.int64)
         points = np.diff(np.append(starts, len(winner)))
-        best = starts[(points >= np.minimum(POINTS, whole[text[starts]] // 2 + 1))]
+        enough = np.minimum(POINTS, whole[text[starts]] // 2 + 1)
+        most = np.zeros(len(size), np.int64)
+        np.maximum.at(most, text[starts], points)
+        best = starts[points >= np.minimum(enough, most[text[starts]])]
         few = np.flatnonzero((windows > 0) & (whole == 0))  # one neighbourhood of all windows
         alone = np.array([key[at[i] : at[i] + windows[i]].min() & ((1 << 40) - 1) for i in few], np.int64)
         chosen = np.concatenate([winner[best], alone])
@@ -111,7 +114,7 @@ def features(data: np.ndarray, at: np.ndarray, ranks: np.ndarray) -> tuple[np.nd
 
 
 def digest(hashes: np.ndarray) -> bytes:
-    """Chained Bloom filters of one text's features; equal ones count once. Empty without features."""
+    """Chained Bloom filters of one text's features; equal ones count once. Empty without features, as only an empty text is."""
     _, first = np.unique(hashes, return_index=True)
     own = hashes[np.sort(first)]
     out = []
@@ -124,7 +127,7 @@ def digest(hashes: np.ndarray) -> bytes:
 
 
 def likeness(a: bytes, b: bytes) -> float:
-    """0 to 1; 1 for equal digests, also for two without features."""
+    """0 to 1; 1 for equal digests, also for two of empty texts."""
     if a == b:
         return 1.0
     if not a or not b:
