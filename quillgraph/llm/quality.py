@@ -22,8 +22,8 @@ from quillgraph.llm._text import SPACED, Words, blocks, mix
 from quillgraph.llm.toxicity import held_out
 
 PASSAGE = 64
-#: Labelled rows that the model is fitted on, at most, and passages of one bag in fitting (evenly spread over longer ones).
-MAX_ROWS, MAX_BAG = 8_000, 64
+#: Labelled rows that the model is fitted on, at most; each with all of its passages.
+MAX_ROWS = 8_000
 HIDDEN, ATTENTION = 16, 8
 N_RATES = 16
 
@@ -146,11 +146,8 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, at in blocks(batch.column(0)):
             x, bounds = passages(data, at)
-            rows = []
-            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                pick = np.unique(np.linspace(a, b - 1, min(b - a, MAX_BAG)).round().astype(np.int64))
-                rows.append(x[pick].ravel())
-            yield pa.RecordBatch.from_arrays([*(batch.column(i)[lo:hi] for i in (1, 2)), pa.array(rows, pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+            rows = [x[a:b].astype(np.float64).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i)[lo:hi] for i in (1, 2)), pa.array(rows, pa.binary())], ["doc_id", "label", "x"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> AttentionModel:
@@ -161,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Attenti
     known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id"])
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(max_rows)
     of = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label")  # max_rows narrow rows
-    rows = of.mapInArrow(_bags, T.StructType([of.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.ArrayType(T.DoubleType()))])).collect()
-    rows.sort(key=lambda r: (str(r.doc_id), len(r.x), r.x[:4]))
-    return AttentionModel.fit([np.array(r.x).reshape(-1, N_RATES) for r in rows], np.array([r.label for r in rows], float))
+    rows = of.mapInArrow(_bags, T.StructType([of.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])).collect()
+    rows.sort(key=lambda r: (str(r.doc_id), len(r.x), r.x))
+    return AttentionModel.fit([np.frombuffer(r.x, np.float64).reshape(-1, N_RATES) for r in rows], np.array([r.label for r in rows], float))
 
 
 def _scorer(held):
