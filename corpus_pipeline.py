@@ -14,15 +14,12 @@ from pyspark.sql import functions as F
 from quillgraph.llm import decontamination, near_dedup, pii, sentencepiece_codec, toxicity
 from quillgraph.llm._table import checkpoint_folder, put_back, set_aside, table
 
-#: Documents with a calibrated probability of this or more are rejected as toxic.
-TOXIC = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model doesn't reject; it is fitted on the labelled documents at hand."""
+    """Documents that the toxicity model doesn't predict toxic; it is fitted on the labelled documents at hand."""
     labels = table(spark, sf_dir, "labels")
     scored = toxicity.score(set_aside(docs, ("score",)), toxicity.fit(docs, labels))
-    return put_back(scored.where(F.col("score") < TOXIC), docs.columns, ("score",))
+    return put_back(scored.where(F.col("score") < toxicity.TOXIC), docs.columns, ("score",))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 from quillgraph.llm._table import saved, table
 from quillgraph.llm._text import _POW, ALNUM, WordClass, Words, blocks, mix
 
+#: Texts with a calibrated probability of this or more are predicted toxic, and rejected by the pipeline.
+TOXIC = 0.3
 #: Labelled rows that the model is fitted on, at most; words of each lexicon, at most.
 MAX_ROWS = 20_000
 MAX_WORDS = 4096
@@ -342,4 +344,4 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels").where(~held_out(4, 2)))
     out = score(docs, model)
-    return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return out.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
