@@ -3,14 +3,18 @@
 Seed entities are e-mail addresses, IP addresses, card and phone numbers found by their form. The words around
 them induce lexical patterns (the word before, the two words before, the word after). Spark scores the graph of
 patterns and instances iteratively: a pattern's score is the share of all its places in the corpus that hold
-identifiers believed so far, an instance's is the noisy-or of the patterns it stands in. Tokens with digits that
-aren't seeds, and that high-confidence patterns vouch for, are unseen identifiers; they are found wherever they stand. Identifiers found
-prove further patterns, until neither the identifiers nor their scores change.
+identifiers believed so far, an instance's is the noisy-or of the patterns it stands in. Candidates are what isn't a seed
+but has five digits or more: tokens, runs of successive tokens with digits, and matches of a seed's form that
+fail its test. Those that high-confidence patterns vouch for are unseen identifiers; they are found wherever they stand.
+Identifiers found prove further patterns, until neither the identifiers nor their scores change.
+
+An identifier of fewer digits or of letters alone can't be told from a word wherever else it stands, so none is sought.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,8 +31,8 @@ KINDS = ("email", "ip", "card", "phone", "context")
 SETTLED = 1e-6
 #: Distinct believed instances that a pattern needs, and the confidence that patterns and instances need.
 SUPPORT, CONFIDENCE = 3, 0.6
-#: Digits of a token that may be an unseen identifier, at least.
-DIGITS = 5
+#: Digits of what may be an unseen identifier, at least, and tokens of a run that may be one, at most.
+DIGITS, TOKENS = 5, 6
 #: 64-bit hashes of one broadcast, 16 MB; more are taken in turn, in further passes.
 MAX_HASHES = 2_000_000
 
@@ -68,25 +72,37 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c in "0123456789")
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) in code points, by kind and start."""
-    out = [("email", a, b) for a, b in emails(text)]
-    # parts are compared by length first: a very long run of digits isn't turned into a number
-    out += [("ip", m.start(), m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
+def formed_spans(text: str) -> Iterator[tuple[str, int, int, bool]]:
+    """(kind, start, end, whether it passes its kind's test) in code points, by kind and start."""
+    for a, b in emails(text):
+        yield "email", a, b, True
+    for m in _IP.finditer(text):
+        # parts are compared by length first: a very long run of digits isn't turned into a number
+        yield "ip", m.start(), m.end(), all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))
     for m in _CARD.finditer(text):
         digits = _digits(m[0])
-        if 13 <= len(digits) <= 19 and _luhn(digits):
-            out.append(("card", m.start(), m.end()))
-    out += [("phone", m.start(), m.end()) for m in _PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
-    return out
+        yield "card", m.start(), m.end(), 13 <= len(digits) <= 19 and _luhn(digits)
+    for m in _PHONE.finditer(text):
+        yield "phone", m.start(), m.end(), 9 <= len(_digits(m[0])) <= 15
+
+
+def base_spans(text: str) -> list[tuple[str, int, int]]:
+    """(kind, start, end) in code points, by kind and start."""
+    return [(kind, a, b) for kind, a, b, good in formed_spans(text) if good]
 
 
 def _pattern(kind: int, value: int) -> int:
     return int(mix(np.array([value + kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1], np.uint64))[0])
 
 
+_EDGES = "\"'()[]{}<>.,;:!?#*&%$|=/\\-_+~`^"
+
+_BLANK = " \t\n\v\f\r"
+
+
 class _Document:
-    """Base spans of one text, and its candidates: tokens with digits outside of them."""
+    """Base spans of one text, and its candidates outside of them: tokens and runs of tokens with digits, and matches that
+    fail their test."""
 
     def __init__(self, words: Words, i: int, at: np.ndarray, digits_before: np.ndarray) -> None:
         self.words, self.first, self.end = words, int(words.first[i]), int(words.first[i + 1])
@@ -95,18 +111,46 @@ class _Document:
         self.text = raw.tobytes().decode()
         #: code points before each byte
         self.points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        self.base = base_spans(self.text)
-        taken = sorted((a, b) for _, a, b in self.base)
-        self.candidates: list[tuple[int, int, int]] = []  # start, end, word
+        formed = list(formed_spans(self.text))
+        self.base = [(kind, a, b) for kind, a, b, good in formed if good]
+        self.taken = sorted((a, b) for _, a, b in self.base)
+        found = {(a, b) for _, a, b, good in formed if not good and self._whole(a, b)}
         count = digits_before[words.end[self.first : self.end]] - digits_before[words.start[self.first : self.end]]
-        for w in (np.flatnonzero(count >= DIGITS) + self.first).tolist():
-            a, b = (int(self.points[x - self.origin]) for x in (words.start[w], words.end[w]))
-            token = self.text[a:b]
-            trimmed = token.strip("\"'()[]{}<>.,;:!?#*&%$|=/\\-_+~`^")
-            a += token.find(trimmed)
-            b = a + len(trimmed)
-            if len(_digits(trimmed)) >= DIGITS and not any(x < b and a < y for x, y in taken):
-                self.candidates.append((a, b, w))
+        run: list[tuple[int, int]] = []
+        previous = -2
+        for w in np.flatnonzero(count).tolist():
+            a, b = (int(self.points[x - self.origin]) for x in (words.start[self.first + w], words.end[self.first + w]))
+            if w != previous + 1 or not self.free(a, b):
+                found |= self._of(run)
+                run = []
+            if self.free(a, b):
+                run.append((a, b))
+            previous = w
+            if count[w] >= DIGITS:
+                found.add(self._trimmed(a, b))
+        found |= self._of(run)
+        #: (start, end) in code points
+        self.candidates = sorted((a, b) for a, b in found if len(_digits(self.text[a:b])) >= DIGITS and self.free(a, b))
+
+    def free(self, a: int, b: int) -> bool:
+        k = bisect_left(self.taken, (b, b))
+        return not any(y > a for _, y in self.taken[max(0, k - 4) : k])  # of four kinds, whose spans don't overlap their own
+
+    def _whole(self, a: int, b: int) -> bool:
+        """Whether nothing but marks stands between a:b and the white space around."""
+        while a and self.text[a - 1] in _EDGES:
+            a -= 1
+        while b < len(self.text) and self.text[b] in _EDGES:
+            b += 1
+        return (not a or self.text[a - 1] in _BLANK) and (b == len(self.text) or self.text[b] in _BLANK)
+
+    def _trimmed(self, a: int, b: int) -> tuple[int, int]:
+        inside = self.text[a:b].strip(_EDGES)
+        a += self.text[a:b].find(inside)
+        return a, a + len(inside)
+
+    def _of(self, run: list[tuple[int, int]]) -> set[tuple[int, int]]:
+        return {self._trimmed(run[0][0], run[-1][1])} if 2 <= len(run) <= TOKENS else set()
 
     def instance(self, a: int, b: int) -> int:
         raw = np.frombuffer(self.text[a:b].lower().encode(), np.uint8)
@@ -146,7 +190,7 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple[int, int, bool]] = []
         for _, d in _documents(batch.column(0)):
-            for seed, found in ((True, [(a, b) for _, a, b in d.base]), (False, [(a, b) for a, b, _ in d.candidates])):
+            for seed, found in ((True, [(a, b) for _, a, b in d.base]), (False, d.candidates)):
                 for a, b in found:
                     inst = d.instance(a, b)
                     rows += [(p, inst, seed) for p in d.patterns(a, b)]
@@ -190,7 +234,11 @@ def _in_turn(hashes: DataFrame, column: str, limit: int) -> Iterator[np.ndarray]
 
 
 def learn(docs: DataFrame, max_hashes: int = MAX_HASHES) -> DataFrame:
-    """(instance): hashes of the unseen identifiers that high-confidence patterns vouch for."""
+    """(instance): hashes of the unseen identifiers that high-confidence patterns vouch for.
+
+    None without texts, seeds or candidates. Instances and places are counted over all rows, repeated ones too; scores
+    don't depend on the order of rows.
+    """
     spark = docs.sparkSession
     of = docs.where("text is not null").select("text")
     edges = saved(of.mapInArrow(_edges, "pattern long, instance long, seed boolean").groupBy("pattern", "instance").agg(F.max("seed").alias("seed"), F.count(F.lit(1)).alias("n")))
@@ -235,12 +283,16 @@ def _finder(held, carried: bool, mask: bool):
             changed: dict[int, str] = {}
             for row, d in _documents(batch.column(names.index("text"))):
                 own = {(s["kind"], s["start"], s["end"]) for s in spans[row]} | set(d.base)
-                for a, b, _ in d.candidates:
-                    if len(known):
-                        h = np.uint64(d.instance(a, b))
-                        k = min(int(np.searchsorted(known, h)), len(known) - 1)
-                        if known[k] == h:
-                            own.add(("context", a, b))
+                vouched: list[tuple[int, int]] = []
+                for a, b in d.candidates if len(known) else ():
+                    h = np.uint64(d.instance(a, b))
+                    k = min(int(np.searchsorted(known, h)), len(known) - 1)
+                    if known[k] == h:
+                        vouched.append((a, b))
+                own |= {("context", a, b) for a, b in vouched}
+                # of identifiers within others, the outer
+                within = [("context", a, b) for k, a, b in own if k == "context" and any(n == "context" and x <= a and b <= y and (x, y) != (a, b) for n, x, y in own)]
+                own -= set(within)
                 ordered = sorted(own, key=lambda s: (KINDS.index(s[0]), s[1]))
                 spans[row] = [{"kind": k, "start": a, "end": b} for k, a, b in ordered]
                 if mask and own:
@@ -269,21 +321,22 @@ def find_pii(docs: DataFrame, mask: bool = False, max_hashes: int = MAX_HASHES)
     """``docs`` with spans (kind, start, end in code points; by kind as listed, then start); with ``mask``, the text
     has <KIND> in place of each.
 
-    Null and empty texts have no spans; repeated rows each have theirs; a column named spans is replaced.
+    Null and empty texts have no spans; repeated rows each have theirs, and what they repeat counts once as an instance; a
+    column named spans is replaced, all others stay. An empty table gives an empty one. Long texts are read whole.
     """
     spark = docs.sparkSession
-    docs = docs.select(*[c for c in docs.columns if c != "spans"])
-    schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("spans array<struct<kind:string,start:long,end:long>>").fields])
-    parts = list(_in_turn(saved(learn(docs, max_hashes)), "instance", max_hashes)) or [np.zeros(0, np.uint64)]
-    out = docs
+    of = set_aside(docs)
+    schema = T.StructType([*of.schema.fields, *T._parse_datatype_string("spans array<struct<kind:string,start:long,end:long>>").fields])
+    parts = list(_in_turn(saved(learn(of, max_hashes)), "instance", max_hashes)) or [np.zeros(0, np.uint64)]
+    out = of
     for k, part in enumerate(parts):
         out = out.mapInArrow(_finder(spark.sparkContext.broadcast(part), k > 0, mask and k == len(parts) - 1), schema)
-    return out
+    return put_back(out, docs.columns, ("spans",))
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data replaced by marks; all columns and rows stay, n_chars follows the text."""
-    out = put_back(find_pii(set_aside(docs, ("spans",)), mask=True), docs.columns, ("spans",))
+    out = put_back(find_pii(set_aside(docs), mask=True), docs.columns)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
