@@ -4,7 +4,8 @@ Words are runs of letters, digits and non-ASCII characters, ASCII capitals folde
 consecutive item words is a window; an item of fewer words is one window as a whole. Each executor holds the
 windows' 64-bit hashes with their words; a document's window hashes are looked up there and every hit is
 verified word by word, so results are exact. The broadcast is bounded: the windows are counted first, and
-beyond ``max_windows`` they are split by item into blocks which scan the documents one after the other.
+beyond ``max_windows`` they are split by their words, so that even a single long item is, into blocks which scan
+the documents one after the other.
 """
 
 from __future__ import annotations
@@ -22,8 +23,11 @@ from quillgraph.llm._table import put_back, saved, set_aside, table
 from quillgraph.llm._text import ALNUM, Words, blocks
 
 WIDTH = 10
-#: Windows of one broadcast: at about 100 bytes each, 100 MB at most.
+#: Windows of one broadcast: flat arrays of about 100 bytes each, 100 MB at most.
 MAX_WINDOWS = 1_000_000
+#: Windows of a batch on the way from an item's text.
+_PART = 50_000
+NAMES = ("n_words", "n_hit", "spans", "items")
 
 
 def _item_windows(width: int):
@@ -31,46 +35,50 @@ def _item_windows(width: int):
         for batch in batches:
             for lo, hi, data, at in blocks(batch.column(1)):
                 words = Words(data, at, ALNUM)
-                items, size, hashes, texts = [], [], [], []
-                ids = batch.column(0)[lo:hi].to_pylist()
-                for i, item in enumerate(ids):
+                for i, item in enumerate(batch.column(0)[lo:hi].to_pylist()):
                     first, end = int(words.first[i]), int(words.first[i + 1])
                     k = min(width, end - first)
-                    for p in range(first, end - k + 1) if k else ():
-                        items.append(item)
-                        size.append(k)
-                        hashes.append(words.sequence_hash(p, p + k) - (1 << 63))
-                        texts.append(words.text(p, p + k))
-                yield pa.RecordBatch.from_arrays([pa.array(items, pa.string()), pa.array(size, pa.int32()), pa.array(hashes, pa.int64()), pa.array(texts, pa.binary())], ["item", "size", "hash", "words"])
+                    for p in range(first, end - k + 1 if k else first, _PART):
+                        part = range(p, min(end - k + 1, p + _PART))
+                        hashes = np.array([words.sequence_hash(q, q + k) for q in part], np.uint64).view(np.int64)
+                        texts = pa.array([words.text(q, q + k) for q in part], pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), pa.array(np.full(len(part), k, np.int32)), pa.array(hashes), texts], ["item", "size", "hash", "words"])
 
     return run
 
 
 class _WindowSet:
-    """Windows of a block of the benchmark: sorted hashes by window size, and the items that have each text."""
-
-    def __init__(self, rows: list) -> None:
-        self.items: dict[bytes, set[str]] = defaultdict(set)
-        sizes: dict[int, set[int]] = defaultdict(set)
-        for r in rows:
-            self.items[bytes(r.words)].add(r.item)
-            sizes[r.size].add(r.hash + (1 << 63))
-        self.items = dict(self.items)
-        self.hashes = {k: np.array(sorted(v), np.uint64) for k, v in sizes.items()}
-        self.low = {}
-        for k, v in self.hashes.items():  # a first look at 20 bits of the hash
-            self.low[k] = np.zeros(1 << 20, bool)
-            self.low[k][(v & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+    """Windows of a block of the benchmark as flat arrays: by window size the sorted hashes, and where each one's words and
+    items stand."""
+
+    def __init__(self, rows: pa.Table) -> None:
+        rows = rows.combine_chunks()
+        size, hashes = rows["size"].to_numpy(), rows["hash"].to_numpy().view(np.uint64)
+        order = np.lexsort((hashes, size))
+        self.words = rows["words"].combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+        named = rows["item"].combine_chunks().dictionary_encode()
+        self.names = named.dictionary.to_pylist()
+        self.item = named.indices.to_numpy()[order]
+        size, hashes = size[order], hashes[order]
+        #: window size -> (its first row, sorted hashes, a first look at 20 bits of the hash)
+        self.by_size: dict[int, tuple[int, np.ndarray, np.ndarray]] = {}
+        for k in np.unique(size).tolist():
+            a, b = np.searchsorted(size, [k, k + 1])
+            low = np.zeros(1 << 20, bool)
+            low[(hashes[a:b] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            self.by_size[k] = (int(a), hashes[a:b], low)
 
     def scan(self, words: Words) -> Iterator[tuple[int, int, set[str]]]:
         """(first word, end word, items) of every verified window."""
-        for k, hashes in self.hashes.items():
+        for k, (base, hashes, low) in self.by_size.items():
             at, found = words.windows(k)
-            likely = np.flatnonzero(self.low[k][(found & np.uint64((1 << 20) - 1)).astype(np.int64)])
-            place = np.minimum(np.searchsorted(hashes, found[likely]), len(hashes) - 1)
-            for p in at[likely[hashes[place] == found[likely]]].tolist():
-                if items := self.items.get(words.text(p, p + k)):
-                    yield p, p + k, items
+            likely = np.flatnonzero(low[(found & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            a, b = np.searchsorted(hashes, found[likely], "left"), np.searchsorted(hashes, found[likely], "right")
+            for p, lo, hi in zip(at[likely].tolist(), a.tolist(), b.tolist(), strict=True):
+                if lo < hi:
+                    own = words.text(p, p + k)
+                    if items := {self.names[self.item[base + r]] for r in range(lo, hi) if self.words[base + r].as_py() == own}:
+                        yield p, p + k, items
 
 
 def _scanner(held, carried: bool):
@@ -127,24 +135,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
     A null or empty text has no words; items without words, or with null ids, match nothing; repeated items
     and documents count each. Columns of ``docs`` with the result's names are replaced. With an empty benchmark
-    nothing is hit.
+    nothing is hit; an empty table of documents gives an empty one.
     """
-    return _scanned(docs, benchmark, width, max_windows)
+    return put_back(_scanned(set_aside(docs), benchmark, width, max_windows), docs.columns, NAMES)
 
 
 def _scanned(docs: DataFrame, benchmark: DataFrame, width: int, max_windows: int, drop_share: float | None = None) -> DataFrame:
     """What :func:`find_contamination` gives; with ``drop_share``, ``docs`` cut by it in the same pass over the texts."""
     spark = docs.sparkSession
-    keep = [c for c in docs.columns if c not in ("n_words", "n_hit", "spans", "items")]
-    docs = docs.select(*keep)
     item = benchmark.where("item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    windows = saved(item.mapInArrow(_item_windows(width), "item string, size int, hash long, words binary"))
+    # a window that an item has twice counts once
+    windows = saved(item.mapInArrow(_item_windows(width), "item string, size int, hash long, words binary").distinct())
     n = windows.count()
     parts = max(1, -(-n // max_windows))
     schema = T.StructType([*docs.schema.fields, *T._parse_datatype_string("n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<string>").fields])
     out = docs
     for k in range(parts):
-        rows = windows.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == k).collect()  # about max_windows at most
+        rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(parts)) == k).toArrow()  # about max_windows at most
         scan = _scanner(spark.sparkContext.broadcast(_WindowSet(rows)), k > 0)
         cuts = drop_share is not None and k == parts - 1
         out = out.mapInArrow(_cutting(scan, drop_share), docs.schema) if cuts else out.mapInArrow(scan, schema)
@@ -178,13 +185,12 @@ def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(names.index(n)) for n in kept], kept)
 
 
-def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, drop_share: float = 0.8) -> DataFrame:
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, drop_share: float = 0.8, max_windows: int = MAX_WINDOWS) -> DataFrame:
     """``docs`` without hit words; documents of which ``drop_share`` of the words are hit go as a whole.
 
-    Documents without hits stay as they are, empty and null ones too.
+    Documents without hits stay as they are, empty and null ones too; repeated rows are cut alike; all columns stay.
     """
-    names = ("n_words", "n_hit", "spans", "items")
-    return put_back(_scanned(set_aside(docs, names), benchmark, width, MAX_WINDOWS, drop_share), docs.columns, names)
+    return put_back(_scanned(set_aside(docs), benchmark, width, max_windows, drop_share), docs.columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
