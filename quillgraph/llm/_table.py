@@ -14,13 +14,18 @@ from quillgraph._ship import ship
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of ``sf_dir``. Makes the package importable on executors and bounds the session's Arrow batches."""
+def prepare(spark: SparkSession) -> None:
+    """Makes the package importable on executors and bounds the session's Arrow batches; every query begins with it."""
     ship(spark)
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = spark.conf.get(key, None)
         if now is None or not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(key, str(most))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of ``sf_dir``, after :func:`prepare`."""
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -48,14 +53,41 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def set_aside(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """``df`` with columns of these names under others, so that an operator's own can't clash with them."""
-    return df.withColumnsRenamed({c: f"_own_{c}" for c in df.columns if c in names})
+def set_aside(df: DataFrame, needed: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """``df`` with every column but the needed ones under a number, so that none can clash with an operator's own."""
+    return df.toDF(*_numbered(df.columns, needed))
+
+
+def put_back(df: DataFrame, columns: list[str], results: tuple[str, ...] = (), needed: tuple[str, ...] = ("doc_id", "text")) -> DataFrame:
+    """The columns of the table before :func:`set_aside`, then the results; a column of a result's name is replaced."""
+    kept = [(own, c) for own, c in zip(_numbered(columns, needed), columns, strict=True) if c.lower() not in {r.lower() for r in results}]
+    return df.select(*(own for own, _ in kept), *results).toDF(*(c for _, c in kept), *results)
+
 
+def _numbered(columns: list[str], needed: tuple[str, ...]) -> list[str]:
+    return [c if c in needed else f"_{i}" for i, c in enumerate(columns)]
 
-def put_back(df: DataFrame, columns: list[str], names: tuple[str, ...]) -> DataFrame:
-    """The columns of the table before :func:`set_aside`."""
-    return df.select(*(F.col(f"_own_{c}" if c in names else c).alias(c) for c in columns))
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in any store that Spark reaches."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def one_label(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label): rows of ``labels`` with 0 or 1 in ``column``, one a doc_id; one whose labels differ has none."""
+    both = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1)).groupBy("doc_id").agg(F.min(column).alias("label"), F.max(column).alias("most"))
+    return both.where("label = most").select("doc_id", F.col("label").cast("int").alias("label"))
+
+
+def labelled_texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, text and the other columns of ``chosen``, which has one row a doc_id and is small: as many rows at most.
+
+    Of rows that share a doc_id the text with the smallest hash is taken.
+    """
+    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen.select("doc_id")), "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x")).select("doc_id", "x.text")
+    return one.join(F.broadcast(chosen), "doc_id")
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -68,15 +100,16 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         links.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     for _ in range(rounds):
+        # what a hub's neighbours need of it is kept as a table of one row a node: a join with it that meets a hub of many
+        # rows can then be split by adaptive execution, which it can't behind an aggregate of the same key
+        both = saved(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         # large star: every larger neighbour of a node is linked to the node's smallest neighbour (or itself)
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = saved(large.where("u <> v").distinct())
         # small star: a node's smaller neighbours, and itself, are linked to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         following = saved(small.where("u <> v").distinct())
         # settled: every node has one edge, and no node is both an end and a centre
         open_ends = following.groupBy("u").count().where("count > 1").select("u").unionByName(following.join(following.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u"))

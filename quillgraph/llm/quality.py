@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm._table import table
+from quillgraph.llm._table import labelled_texts, one_label, put_back, set_aside, table
 from quillgraph.llm._text import SPACED, Words, blocks, mix
 from quillgraph.llm.toxicity import held_out
 
@@ -153,11 +153,12 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> AttentionModel:
     """Fits on at most ``max_rows`` rows of ``labels`` (doc_id, quality 0 or 1), those with the smallest hash of doc_id.
 
-    Without labelled texts, or with a single class, every document gets the share of label 1 (0.5 without any).
+    Null labels and ids, and labels of texts that are missing, are passed over, and so is a doc_id whose labels differ;
+    equal ones count once. Of rows that share a doc_id one is taken, with all its passages. Without labelled texts, or
+    with a single class, every document gets the share of label 1 (0.5 without any).
     """
-    known = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("label")).dropDuplicates(["doc_id"])
-    chosen = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(max_rows)
-    of = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "label")  # max_rows narrow rows
+    chosen = one_label(labels, "quality").orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(max_rows)
+    of = labelled_texts(docs, chosen).select("text", "doc_id", "label")
     rows = of.mapInArrow(_bags, T.StructType([of.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])).collect()
     rows.sort(key=lambda r: (str(r.doc_id), len(r.x), r.x))
     return AttentionModel.fit([np.frombuffer(r.x, np.float64).reshape(-1, N_RATES) for r in rows], np.array([r.label for r in rows], float))
@@ -175,10 +176,14 @@ def _scorer(held):
 
 
 def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
-    """``docs`` with score, 0 to 1, from the whole text alone (null counts as empty); a column of that name is replaced."""
-    docs = docs.select(*[c for c in docs.columns if c != "score"])
+    """``docs`` with score, 0 to 1, from the whole text alone; a column of that name is replaced, all others stay.
+
+    A null text counts as empty, and an empty one is a single passage of zeros. Equal texts have equal scores, rows that
+    repeat each have theirs. An empty table gives an empty one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_scorer(held), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    of = set_aside(docs)
+    return put_back(of.mapInArrow(_scorer(held), T.StructType([*of.schema.fields, T.StructField("score", T.DoubleType())])), docs.columns, ("score",))
 
 
 def op4_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,18 +15,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm._table import saved, table
+from quillgraph.llm._table import labelled_texts, one_label, put_back, saved, set_aside, table
 from quillgraph.llm._text import _POW, ALNUM, WordClass, Words, blocks, mix
 
 #: Texts with a calibrated probability of this or more are predicted toxic, and rejected by the pipeline.
 TOXIC = 0.3
-#: Labelled rows that the model is fitted on, at most; words of each lexicon, at most.
+#: Labelled rows that the model is fitted on, at most.
 MAX_ROWS = 20_000
-MAX_WORDS = 4096
+#: Toxic texts that a lexicon's word stands in, at least, and how much likelier it is in them than in clean ones. All such
+#: words of the bounded sample are in the lexicon.
+SUPPORT, LIFT = 3, 5.0
 PREFIXES = (4, 6)
 #: Second-person words of the languages at hand.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes tus su vosotros".split()
@@ -280,14 +282,15 @@ def _measure(held):
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicity:
     """Fits on at most ``max_rows`` rows of ``labels`` (doc_id, toxic 0 or 1), those with the smallest hash of doc_id.
 
-    Null labels and texts that are missing are passed over. Without any row, or with a single class, the model
-    gives every text the share of toxic rows (0 without rows).
+    Null labels and ids, and labels of texts that are missing, are passed over, and so is a doc_id whose labels differ;
+    equal ones count once. Of rows that share a doc_id one is taken, so that the sample never exceeds ``max_rows`` texts.
+    Without any row, or with a single class, the model gives every text the share of toxic rows (0 without rows).
+    Columns other than doc_id, text and toxic don't matter.
     """
     spark = docs.sparkSession
-    known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("label")).dropDuplicates(["doc_id"])
+    known = one_label(labels, "toxic")
     chosen = known.withColumn("draw", F.xxhash64(F.col("doc_id"), F.lit("toxicity"))).orderBy("draw", "doc_id").limit(max_rows).select("doc_id", "label", F.pmod("draw", F.lit(2)).alias("half"))
-    # at most max_rows narrow rows
-    sample = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label", "half")
+    sample = saved(labelled_texts(docs, chosen).select("text", "label", "half"))
     counts = {(r.half, r.label): r.n for r in sample.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = sum(n for (_, label), n in counts.items() if label == 1) / max(1, sum(counts.values()))
     seen = saved(sample.mapInArrow(_label_counts, "kind int, half long, term long, toxic long, clean long").groupBy("kind", "half", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
@@ -295,9 +298,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
     def lexicon(halves: tuple[int, ...]) -> list[np.ndarray]:
         toxic, clean = (sum(n for (h, label), n in counts.items() if h in halves and label == k) for k in (1, 0))
         lift = (F.col("toxic") + 0.5) * (max(1, clean) / max(1, toxic)) / (F.col("clean") + 0.5)
-        terms = seen.where(F.col("half").isin(*halves)).groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where((F.col("toxic") >= 3) & (lift >= 5))
-        best = Window.partitionBy("kind").orderBy(F.desc(F.log(lift) * F.col("toxic")), "term")
-        rows = terms.withColumn("place", F.row_number().over(best)).where(F.col("place") <= MAX_WORDS).select("kind", "term").collect()
+        terms = seen.where(F.col("half").isin(*halves)).groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        rows = terms.where((F.col("toxic") >= SUPPORT) & (lift >= LIFT)).select("kind", "term").collect()  # words of max_rows texts
         found = [np.array([r.term for r in rows if r.kind == k], np.int64).view(np.uint64) for k in range(_TERM_KINDS)]
         return [np.unique(np.concatenate([found[0], _SEEDS])), *(np.sort(x) for x in found[1:])]
 
@@ -330,10 +332,14 @@ def _scorer(held):
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
-    """``docs`` with score, 0 to 1, from the text alone (null counts as empty); a column of that name is replaced."""
-    docs = docs.select(*[c for c in docs.columns if c != "score"])
+    """``docs`` with score, 0 to 1, from the whole text alone; a column of that name is replaced, all others stay.
+
+    A null text counts as empty, and an empty one has the score of all-zero features. Equal texts have equal scores,
+    rows that repeat each have theirs. An empty table gives an empty one.
+    """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.mapInArrow(_scorer(held), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
+    of = set_aside(docs)
+    return put_back(of.mapInArrow(_scorer(held), T.StructType([*of.schema.fields, T.StructField("score", T.DoubleType())])), docs.columns, ("score",))
 
 
 def held_out(modulus: int, remainder: int):
