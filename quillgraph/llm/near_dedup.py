@@ -8,10 +8,15 @@ must pass an estimate of the Jaccard similarity, corrected for chance register c
 full shingle sets.
 
 No step lists all pairs of a group. Equal shingle sets are one class with one representative. In a band bucket each
-representative is compared with the bucket's smallest only, its centre; links become components. All that were compared
-with one centre but still lie in different components are then looked at in pairs of blocks of bounded size, members
-outside the largest component against all others, by counting shared shingles; only links leave that step. After it
-every candidate pair was either checked or is joined by checked links.
+representative is compared with one of the bucket only, its centre; links become components. Two that were compared with
+one centre but still lie in different components may be alike nevertheless. Such members are joined by prefixes: of sets
+ordered alike, rare shingles first, two that are alike enough share one of the first few, whatever the order. Texts
+around a common passage have prefixes of their own words, so that they don't meet. Members of several components
+that share a prefix shingle are compared in pairs of blocks of bounded size, those outside the largest component
+with all. After that every candidate pair was either checked or is joined by checked links.
+
+Keys that many rows share (a set, a band key, a centre, a common shingle) meet only tables that are kept with one row a
+key, in joins that adaptive execution can split, or are dealt into blocks.
 """
 
 from __future__ import annotations
@@ -32,8 +37,10 @@ BANDS, ROWS = 24, 4
 MANTISSA = 10
 #: The estimate of 96 registers has a deviation of at most 0.05; pairs are verified from 4 of them below the threshold on.
 MARGIN = 0.2
-#: Shingles of a block of members that are compared with those of another block.
+#: Shingles of a block of members that are compared with a centre, or with those of another block.
 BLOCK = 1 << 19
+#: Counters by which shingles are ordered, common ones last. More shingles share them; any order gives the same links.
+COUNTERS = 1 << 18
 _RNG = np.random.default_rng(7)
 _FACTOR = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
@@ -58,6 +65,11 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return (same - chance) / (1 - chance)
 
 
+def _set_key(own: np.ndarray) -> np.ndarray:
+    """128 bits that stand for a set of shingle hashes."""
+    return np.array([np.add.reduce(mix(own)), np.bitwise_xor.reduce(mix(own + np.uint64(77)))], np.uint64).view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, at in blocks(batch.column(1)):
@@ -71,7 +83,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in some:
                     own = np.unique(hashes[first[i] : first[i + 1]])
                     size[i] = len(own)
-                    sets[i] = np.array([np.add.reduce(mix(own)), np.bitwise_xor.reduce(mix(own + np.uint64(77)))], np.uint64).view(np.int64)
+                    sets[i] = _set_key(own)
                 rows = registers(hashes, np.append(first[some], first[-1]))
                 packed = rows.reshape(len(some), BANDS, ROWS).view(np.uint64)[:, :, 0]  # four registers of 16 bits
                 keys = mix(mix(packed) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
@@ -91,30 +103,69 @@ def _likely(threshold: float):
                 n, m = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
                 # sizes alone bound the similarity
                 good = (estimate(a, b, n, m) >= threshold - MARGIN) & (np.minimum(n, m) >= (threshold - 1e-9) * np.maximum(n, m))
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good)), batch.column("b").filter(pa.array(good))], ["a", "b"])
+                yield batch.select(["a", "set_a", "n_a", "b", "set_b"]).filter(pa.array(good))
+
+    return run
+
+
+def _sets(column: pa.Array) -> Iterator[np.ndarray]:
+    """The sorted shingle set of each text."""
+    for lo, hi, data, at in blocks(column):
+        hashes, first = shingle_sets(Words(data, at, SPACED), SHINGLE)
+        for i in range(hi - lo):
+            yield np.unique(hashes[first[i] : first[i + 1]])
+
+
+def _with_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys = np.array([_set_key(own)[0] if len(own) else 0 for own in _sets(batch.column(1))], np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys), batch.column(1)], ["doc_id", "set", "text"])
+
+
+def _with_centre(percent: int):
+    """Links of members to their centre, whose row comes before theirs, from full shingle sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, centre = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("b", "set_b", "block", "role")), strict=True)
+            good = np.zeros(batch.num_rows, bool)
+            for i, ((*own_key, role), own) in enumerate(zip(rows, _sets(batch.column("text")), strict=True)):
+                if role == 0:
+                    key, centre = own_key, own
+                elif key == own_key:
+                    both = int((centre[np.minimum(np.searchsorted(centre, own), len(centre) - 1)] == own).sum())
+                    good[i] = both > 0 and 100 * both >= percent * (len(own) + len(centre) - both)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return run
 
 
-def _same(percent: int):
-    """Pairs of texts whose full shingle sets have 100 * intersection >= percent * union."""
+def _counters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for own in _sets(batch.column(0)):
+            np.add.at(total, (mix(own) % np.uint64(COUNTERS)).astype(np.int64), 1)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["counter", "n"])
+
+
+def _prefixes(held, percent: int):
+    """The first shingles of each set, common ones last, of which sets that are alike enough share one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common: np.ndarray = held.value
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                good = np.zeros(part.num_rows, bool)
-                sets: list[list[np.ndarray]] = []
-                for name in ("text_a", "text_b"):
-                    own, column = [], part.column(name)
-                    for b_lo, b_hi, data, at in blocks(column):
-                        hashes, first = shingle_sets(Words(data, at, SPACED), SHINGLE)
-                        own += [np.unique(hashes[first[i] : first[i + 1]]) for i in range(b_hi - b_lo)]
-                    sets.append(own)
-                for i, (x, y) in enumerate(zip(*sets, strict=True)):
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
+            chosen: list[np.ndarray] = []
+            size = np.zeros(batch.num_rows, np.int64)
+            for i, own in enumerate(_sets(batch.column("text"))):
+                size[i] = len(own)
+                order = np.lexsort((own, common[(mix(own) % np.uint64(COUNTERS)).astype(np.int64)]))
+                chosen.append(own[order[: len(own) - -(-percent * len(own) // 100) + 1]])
+            rows = np.repeat(np.arange(batch.num_rows), [len(c) for c in chosen])
+            shingles = np.concatenate([*chosen, np.zeros(0, np.uint64)]).view(np.int64)
+            kept = batch.select(["a", "set", "root"]).take(pa.array(rows))
+            yield pa.RecordBatch.from_arrays([pa.array(shingles), *kept.columns, pa.array(size[rows])], ["shingle", "a", "set", "root", "n"])
 
     return run
 
@@ -125,16 +176,13 @@ def _between(percent: int):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("block", "ascending"), ("doc_id", "ascending")])
         ids, roots = group["doc_id"].to_numpy(), group["root"].to_numpy()
-        main, block = group["main"].to_numpy(zero_copy_only=False), group["block"].to_numpy()
-        sets: list[np.ndarray] = []
-        for lo, hi, data, at in blocks(group["text"].combine_chunks()):
-            hashes, first = shingle_sets(Words(data, at, SPACED), SHINGLE)
-            sets += [np.unique(hashes[first[i] : first[i + 1]]) for i in range(hi - lo)]
+        main, block = group["main"].to_numpy(), group["block"].to_numpy()
+        sets = list(_sets(group["text"].combine_chunks()))
         size = np.array([len(x) for x in sets])
         known, members = np.unique(np.concatenate(sets), return_inverse=True)
         first = np.concatenate([[0], np.cumsum(size)])
         two = block[0] != block[-1]
-        found: list[tuple[int, int]] = []
+        found: list[tuple] = []
         marked = np.zeros(len(known), np.int32)
         for x in np.flatnonzero(~main):
             own = members[first[x] : first[x + 1]]
@@ -145,13 +193,44 @@ def _between(percent: int):
             good = (roots != roots[x]) & (100 * both >= percent * (size + size[x] - both))
             if two:  # pairs within a block are looked at elsewhere
                 good &= block != block[x]
-            found += [(int(max(ids[x], ids[y])), int(min(ids[x], ids[y]))) for y in np.flatnonzero(good)]
+            found += [(max(ids[x], ids[y]), min(ids[x], ids[y])) for y in np.flatnonzero(good)]
         kind = group.schema.field("doc_id").type
         return pa.table({"a": pa.array([a for a, _ in found], kind), "b": pa.array([b for _, b in found], kind)})
 
     return run
 
 
+def _remainder(around: DataFrame, texts: DataFrame, percent: int, pair: T.StructType) -> DataFrame:
+    """Links (a, b) between members (a, set, root) of different roots, of ``around`` (centre b, set_b)."""
+    spark = around.sparkSession
+    torn = saved(around.groupBy("b", "set_b").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("b", "set_b"))
+    loose = saved(around.join(torn, ["b", "set_b"]).select("a", "set", "root").distinct())
+    if loose.isEmpty():
+        return spark.createDataFrame([], pair)
+    of = loose.join(texts.withColumnRenamed("doc_id", "a"), ["a", "set"])
+    counted = of.select("text").mapInArrow(_counters, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows
+    common = np.zeros(COUNTERS, np.int64)
+    common[counted["counter"].to_numpy()] = counted["n"].to_numpy()
+    held = spark.sparkContext.broadcast(common)  # 2 MB
+    fields = {f.name: f for f in loose.schema.fields}
+    prefix = saved(of.mapInArrow(_prefixes(held, percent), T.StructType([T.StructField("shingle", T.LongType()), fields["a"], fields["set"], fields["root"], T.StructField("n", T.LongType())])))
+    # shingles of several components; of those that the same members have, one
+    tags = [F.bit_xor(F.xxhash64("a", "set", F.lit(k))).alias(f"tag_{k}") for k in (1, 2)]
+    shared = prefix.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("members"), *tags).where("least <> most")
+    chosen = saved(shared.groupBy("members", "tag_1", "tag_2").agg(F.min("shingle").alias("shingle")).select("shingle"))
+    groups = saved(prefix.join(chosen, "shingle"))
+    by_root = groups.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("size"))
+    plan = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max_by("size", F.struct("n", "root")).alias("most"), F.sum("size").alias("size"))
+    # blocks of what is outside of the largest component, then those of that component
+    plan = saved(plan.select("shingle", "main", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("p"), F.ceil(F.col("most") / BLOCK).cast("int").alias("q")))
+    dealt = groups.join(plan, "shingle").withColumn("main", F.col("root") == F.col("main"))
+    own = F.xxhash64("a", "set")
+    dealt = dealt.withColumn("block", F.when(F.col("main"), F.col("p") + F.pmod(own, F.col("q"))).otherwise(F.pmod(own, F.col("p"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("p")).otherwise(F.col("p") + F.col("q")) - 1)))
+    dealt = dealt.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("a").alias("doc_id"), "set", "root", "main")
+    return saved(dealt.join(texts, ["doc_id", "set"]).groupBy("shingle", "i", "j").applyInArrow(_between(percent), pair).distinct())
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included), kept (whether that is itself).
 
@@ -159,58 +238,53 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     runs without white space, ASCII capitals folded; fewer than five words: their whole sequence is the one shingle).
     Null, empty and blank texts have no shingles and no links. Rows with the same doc_id are one document, with the sets
     of each row: every row is returned, with the same component. A null doc_id has no links: component null, kept true.
+    Other columns don't matter; an empty table gives an empty one. Shingles are compared by hashes of 64 bits, sets as a
+    whole by 128.
     """
     of = docs.select("doc_id", "text")
     sig = saved(of.mapInArrow(_signatures, T.StructType([of.schema["doc_id"], *T._parse_datatype_string("n_shingles long, set_a long, set_b long, regs binary, bands array<long>").fields])))
     whole = ["set_a", "set_b", "n_shingles"]
-    some = sig.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy(*whole).agg(F.min("doc_id").alias("rep"))
-    reps = saved(some.groupBy(*whole).agg(F.min(F.struct("doc_id", "regs", "bands")).alias("x")).select(F.col("x.doc_id").alias("rep"), "n_shingles", "x.regs", "x.bands"))
-    # copies of a document with an equal set; and rows of one doc_id whose texts differ
-    own = some.join(classes, whole).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
+    some = sig.where(linkable)
+    # a class is known by its representative and half of its set's key, as one doc_id may represent several
+    reps = saved(some.groupBy(*whole).agg(F.min(F.struct("doc_id", "regs", "bands")).alias("x")).select(*whole, F.col("x.doc_id").alias("rep"), "x.regs", "x.bands"))
+    several = saved(some.groupBy("doc_id").agg(F.min("set_a").alias("least"), F.max("set_a").alias("most")).where("least <> most").select("doc_id"))
+    own = some.select("doc_id", *whole).join(several, "doc_id").distinct().join(reps.select(*whole, "rep"), whole).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
 
     # equal keys of several representatives
-    member = reps.select("rep", F.explode("bands").alias("key"))
-    shared = member.groupBy("key").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    member = saved(member.join(shared.select("key", "least"), "key"))
-    narrow = reps.select("rep", "n_shingles", "regs").groupBy("rep").agg(F.max_by(F.struct("n_shingles", "regs"), "n_shingles").alias("x")).select("rep", "x.n_shingles", "x.regs")
-
-    side = lambda c: narrow.select(F.col("rep").alias(c), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
-    star = saved(member.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b")).distinct())
-    likely = saved(star.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(_likely(percent / 100), star.schema))
+    member = reps.select(F.col("rep").alias("a"), F.col("set_a").alias("set"), F.explode("bands").alias("key"))
+    centre = saved(member.groupBy("key").agg(F.min("a").alias("b"), F.min_by("set", "a").alias("set_b"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
+    star = saved(member.join(centre, "key").where("a <> b or set <> set_b").select("a", F.col("set").alias("set_a"), "b", "set_b").distinct())
+    side = lambda c: reps.select(F.col("rep").alias(c), F.col("set_a").alias(f"set_{c}"), F.col("n_shingles").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
+    pair = T.StructType([star.schema["a"], star.schema["b"]])
+    both = star.join(side("a"), ["a", "set_a"]).join(side("b"), ["b", "set_b"]).select("a", "set_a", "n_a", "regs_a", "b", "set_b", "n_b", "regs_b")
+    likely = saved(both.mapInArrow(_likely(percent / 100), T.StructType([star.schema["a"], star.schema["set_a"], T.StructField("n_a", T.LongType()), star.schema["b"], star.schema["set_b"]])))
+
+    # texts of all that stand in a bucket with others, one of each class
     wanted = star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct()
-    texts = saved(of.join(wanted, "doc_id", "left_semi"))
-    a, b = (texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-    links = saved(likely.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(_same(percent), star.schema).distinct())
-    parts = components(links)
+    texts = of.join(wanted, "doc_id", "left_semi").mapInArrow(_with_set, T.StructType([of.schema["doc_id"], T.StructField("set", T.LongType()), T.StructField("text", T.StringType())]))
+    texts = saved(texts.dropDuplicates(["doc_id", "set"]))
+
+    # a centre's text goes once to each block of its members
+    heavy = saved(likely.groupBy("b", "set_b").agg(F.sum("n_a").alias("size")).where(F.col("size") > BLOCK))
+    dealt = likely.join(heavy, ["b", "set_b"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("a", "set_a"), F.ceil(F.col("size") / BLOCK)), F.lit(0)).cast("int"))
+    dealt = saved(dealt.select("b", "set_b", "block", F.lit(1).alias("role"), F.col("a").alias("doc_id"), F.col("set_a").alias("set")))
+    centres = dealt.select("b", "set_b", "block").distinct().select("b", "set_b", "block", F.lit(0).alias("role"), F.col("b").alias("doc_id"), F.col("set_b").alias("set"))
+    meet = dealt.unionByName(centres).join(texts, ["doc_id", "set"]).select("b", "set_b", "block", "role", F.col("doc_id").alias("a"), "text")
+    meet = meet.repartition("b", "set_b", "block").sortWithinPartitions("b", "set_b", "block", "role")
+    links = saved(meet.mapInArrow(_with_centre(percent), pair).distinct().unionByName(own))
 
-    # two members of a bucket were both compared with its centre; all that were compared with one centre are looked at
-    # together if they are still apart, in pairs of blocks of bounded size
-    around = (
-        star.select(F.col("b").alias("centre"), F.col("a").alias("rep"))
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("centre", "rep", F.coalesce("root", "rep").alias("root"))
-        .join(narrow.select("rep", "n_shingles"), "rep")
-    )
-    by_root = around.groupBy("centre", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("size"))
-    apart = by_root.groupBy("centre").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots"), F.sum("size").alias("size"))
-    apart = apart.where("roots > 1").select("centre", "main", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    block = around.join(apart, "centre").withColumn("block", F.expr("cast(pmod(xxhash64(rep), blocks) as int)"))
-    block = block.select("centre", "rep", "root", "main", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    block = block.select("centre", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("rep").alias("doc_id"), "root", (F.col("root") == F.col("main")).alias("main"))
-    rest = saved(block.join(texts, "doc_id").groupBy("centre", "i", "j").applyInArrow(_between(percent), star.schema).distinct())
-
-    roots = components(links.unionByName(rest).unionByName(own))
-    return (
-        sig.select("doc_id", "n_shingles")
-        .join(roots.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
-    )
+    parts = components(links)
+    around = star.select("b", "set_b", "a", F.col("set_a").alias("set")).join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
+    roots = components(links.unionByName(_remainder(around, texts, percent, pair)))
+    of_class = saved(reps.select(*whole, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*whole, F.coalesce("root", "rep").alias("component_id")))
+    linked = some.select("doc_id", *whole).join(of_class, whole).select("doc_id", "n_shingles", "component_id")
+    alone = sig.where(~linkable | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: that with the smallest doc_id."""
+    """``docs`` with one document of each group of near duplicates: that with the smallest doc_id, with all its rows."""
     gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
