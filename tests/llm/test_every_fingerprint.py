@@ -6,9 +6,9 @@ from quillgraph.llm import fingerprints
 def test_texts_without_a_rarest_window_still_have_fingerprints():
     # with any ranks, some of these texts have no window of 16 points
     rng = np.random.default_rng(31)
-    rank = np.arange(fingerprints.BINS)
+    rank = np.stack([np.arange(fingerprints.BINS)] * 2)
     texts = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in rng.integers(127, 200, 400)]
-    for ranks in (rank, rank[::-1].copy(), np.zeros_like(rank)):
+    for ranks in (rank, rank[:, ::-1].copy(), np.zeros_like(rank)):
         prints = fingerprints._digests(texts, ranks)
         assert all(prints)
         assert fingerprints._digests([b""], ranks) == [b""]
