@@ -3,7 +3,8 @@
 A sentence ends with a word that ends in . ! or ?, or with its line; one of more than 24 words counts as pieces of 12.
 From each sentence a span runs over the next ones until it has two sentences and ``WORDS`` words. The spans' hashes of
 all documents are joined; of equal spans the first, by doc_id and place, stays, and the sentences that any other
-covers go. Hashes are of words without regard to white space and ASCII capitals.
+covers go. Hashes are of words without regard to white space and ASCII capitals, of 128 bits, so that no two of 10^15
+different spans are likely to meet.
 
 So that a passage is found wherever it stands in a sentence, runs of ``RUN`` words at places that the words themselves
 decide are joined too: of each ``NEAR`` successive runs of a text, that with the smallest hash. Any ``RUN`` + ``NEAR`` - 1
@@ -21,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm._table import saved, table
-from quillgraph.llm._text import SPACED, Words, blocks, mix
+from quillgraph.llm._table import put_back, saved, set_aside, table
+from quillgraph.llm._text import SPACED, Words, _powers, blocks, mix
 
 WORDS, SENTENCES = 20, 2
 _LONG, _PIECE = 24, 12
@@ -57,54 +58,58 @@ class _Sentences:
         self.bounds = np.searchsorted(self.doc, np.arange(len(at)))
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(first sentence, end sentence, hash) of every whole span."""
+        """(first sentence, end sentence, hashes) of every whole span."""
         n = len(self.doc)
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((2, 0), np.uint64)
         begin = np.arange(n)
         # the first boundary with enough words, and not before two sentences
         end = np.maximum(np.searchsorted(self.first, self.first[:-1] + WORDS, "left"), begin + SENTENCES)
         good = end <= self.bounds[1:][self.doc]
         begin, end = begin[good], end[good]
-        return begin, end, self._hash(self.first[begin], self.first[end])
+        return begin, end, self._hashes(self.first[begin], self.first[end])
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """(first word, hash) of the runs of words that stand for their neighbourhoods."""
+        """(first word, hashes) of the runs of words that stand for their neighbourhoods."""
         lo = np.arange(max(0, len(self.words) - RUN + 1))
         lo = lo[self.words.doc[lo] == self.words.doc[lo + RUN - 1]]
-        hashes = self._hash(lo, lo + RUN) ^ _RUNS
         if len(lo) < NEAR:
-            return lo[:0], hashes[:0]
+            return lo[:0], np.zeros((2, 0), np.uint64)
+        hashes = self._hash(0, lo, lo + RUN)
         least = np.arange(len(lo) - NEAR + 1) + np.lib.stride_tricks.sliding_window_view(hashes, NEAR).argmin(axis=1)
         doc = self.words.doc[lo]
-        chosen = np.unique(least[doc[: len(least)] == doc[NEAR - 1 :]])
-        return lo[chosen], hashes[chosen]
+        chosen = lo[np.unique(least[doc[: len(least)] == doc[NEAR - 1 :]])]
+        return chosen, self._hashes(chosen, chosen + RUN) ^ _RUNS
 
-    def _hash(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        """Hashes of words lo:hi."""
+    def _hashes(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return np.stack([self._hash(0, lo, hi), self._hash(1, lo, hi)])
+
+    def _hash(self, which: int, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The first or second 64 bits of the hashes of words lo:hi."""
         # sums of scrambled word hashes weighted by odd powers, the same wherever the span stands
-        weight, inverse = _powers_of(len(self.words))
-        total = np.concatenate([[np.uint64(0)], np.cumsum(self.words.hash * weight)])
+        weight, inverse = _powers_of(which, len(self.words))
+        words = mix(self.words.hash + _SECOND) if which else self.words.hash
+        total = np.concatenate([[np.uint64(0)], np.cumsum(words * weight)])
         return mix((total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64))
 
 
-#: Sets the hashes of runs apart from those of spans.
-_RUNS = np.uint64(0xA24BAED4963EE407)
-_STEP = 0xD6E8FEB86659FD93
-_cache: list[tuple[np.ndarray, np.ndarray]] = []
-
+#: Sets the hashes of runs apart from those of spans, and the second hash of a word from the first.
+_RUNS, _SECOND = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
+_STEPS = (0xD6E8FEB86659FD93, 0xCA5A826395121157)
+_cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
-    from quillgraph.llm._text import _powers
 
-    if not _cache or len(_cache[0][0]) < n:
-        _cache[:] = [(_powers(_STEP, max(n, 1 << 16)), _powers(pow(_STEP, -1, 1 << 64), max(n, 1 << 16)))]
-    return _cache[0][0][:n], _cache[0][1][:n]
+def _powers_of(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if which not in _cache or len(_cache[which][0]) < n:
+        size = max(n, 1 << 16)
+        _cache[which] = (_powers(_STEPS[which], size), _powers(pow(_STEPS[which], -1, 1 << 64), size))
+    return _cache[which][0][:n], _cache[which][1][:n]
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash_a, hash_b, doc_id, text_key, first, n, again): ``again`` where the same document has the span before."""
     for batch in batches:
-        for lo, hi, data, at in blocks(batch.column(1)):
+        for lo, hi, data, at in blocks(batch.column(2)):
             s = _Sentences(data, at)
             begin, end, hashes = s.spans()
             doc = s.doc[begin]
@@ -113,29 +118,47 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             doc = np.concatenate([doc, s.words.doc[word]])
             own = np.concatenate([own, word - s.words.first[s.words.doc[word]]])
             n = np.concatenate([end - begin, np.full(len(word), -RUN)])
-            hashes = np.concatenate([hashes, of_runs])
+            hashes = np.concatenate([hashes, of_runs], axis=1)
+            order = np.lexsort((own, hashes[1], hashes[0], doc))
+            same = np.zeros(len(order), bool)
+            if len(order):
+                same[order[1:]] = (np.diff(doc[order]) == 0) & (hashes[:, order[1:]] == hashes[:, order[:-1]]).all(axis=0)
+            rows = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(hashes.view(np.int64)), batch.column(0)[lo:hi].take(pa.array(doc)), pa.array(own.astype(np.int32)), pa.array(n.astype(np.int32))], ["hash", "doc_id", "first", "n"]
+                [pa.array(hashes[0].view(np.int64)), pa.array(hashes[1].view(np.int64)), *(batch.column(c)[lo:hi].take(rows) for c in (0, 1)), pa.array(own.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(same)],
+                ["hash_a", "hash_b", "doc_id", "text_key", "first", "n", "again"],
             )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with text_key, which tells rows without a doc_id apart by their texts: null for all others."""
+    return docs.withColumn("text_key", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+
+
 def repeated_spans(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(doc_id, first, n): n sentences, or for a negative n as many words, from the text's first on, that repeat earlier
-    ones; rows with a null doc_id take no part.
+    """(doc_id, text_key, first, n): n sentences, or for a negative n as many words, from the text's first on, that repeat
+    earlier ones; ``docs`` has doc_id, text_key (:func:`_keyed`) and text.
 
     The rows of a hash that more than ``hot_rows`` have are joined in parts of about that many.
     """
-    of = docs.where("doc_id is not null").select("doc_id", "text")
-    spans = of.mapInArrow(_spans, T.StructType([T.StructField("hash", T.LongType()), of.schema["doc_id"], T.StructField("first", T.IntegerType()), T.StructField("n", T.IntegerType())]))
-    # counted and the first found before rows of a hash meet, so that a common span is no hot key here
-    place = F.struct("doc_id", "first")
-    shared = saved(spans.groupBy("hash").agg(F.min(place).alias("kept"), F.count(F.lit(1)).alias("rows")).where("rows > 1"))
+    of = docs.select("doc_id", "text_key", "text")
+    long, number = T.LongType(), T.IntegerType()
+    spans = of.mapInArrow(
+        _spans,
+        T.StructType([T.StructField("hash_a", long), T.StructField("hash_b", long), of.schema["doc_id"], of.schema["text_key"], T.StructField("first", number), T.StructField("n", number), T.StructField("again", T.BooleanType())]),
+    )
+    hashes = ["hash_a", "hash_b"]
+    # counted, and the first document found, before rows of a hash meet, so that a common span is no hot key here; a document
+    # with a doc_id comes before all without
+    found = spans.groupBy(*hashes).agg(F.min("doc_id").alias("kept"), F.min("text_key").alias("kept_key"), F.count(F.lit(1)).alias("rows"))
+    shared = saved(found.where("rows > 1"))
     limit = max(hot_rows, (shared.agg(F.sum("rows")).first()[0] or 0) // HOT_SPANS)
-    shared = shared.select("hash", "kept", F.ceil(F.col("rows") / limit).cast("int").alias("parts"))
-    hot = shared.where("parts > 1").select("hash", "parts")  # fewer than HOT_SPANS rows by the limit
-    dealt = spans.join(F.broadcast(hot), "hash", "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "first"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    shared = shared.select("hash", "kept", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return dealt.join(shared, ["hash", "part"]).where(place != F.col("kept")).select("doc_id", "first", "n")
+    shared = shared.select(*hashes, "kept", "kept_key", F.ceil(F.col("rows") / limit).cast("int").alias("parts"))
+    hot = shared.where("parts > 1").select(*hashes, "parts")  # fewer than HOT_SPANS rows by the limit
+    dealt = spans.join(F.broadcast(hot), hashes, "left").withColumn("part", F.pmod(F.xxhash64("doc_id", "text_key", "first"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    shared = shared.select(*hashes, "kept", "kept_key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    stays = ~F.col("again") & F.coalesce(F.col("doc_id") == F.col("kept"), F.col("kept").isNull() & (F.col("text_key") == F.col("kept_key")), F.lit(False))
+    return dealt.join(shared, [*hashes, "part"]).where(~stays).select("doc_id", "text_key", "first", "n")
 
 
 def _apart(run: np.ndarray, hit: np.ndarray, sentence: np.ndarray) -> int:
@@ -148,7 +171,7 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names = batch.schema.names
         column = batch.column(names.index("text"))
-        cuts = batch.column(names.index("_cuts"))
+        cuts = batch.column(names.index("cuts"))
         total, gone, texts = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), column.to_pylist()
         for lo, hi, data, at in blocks(column):
             s = _Sentences(data, at)
@@ -181,7 +204,7 @@ def _remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pieces.append(raw[done:a].tobytes())
                     done = b
                 texts[lo + i] = b"".join([*pieces, raw[done:].tobytes()]).decode()
-        kept = [n for n in names if n not in ("_cuts", "n_sentences", "n_removed")]
+        kept = [n for n in names if n not in ("cuts", "text_key")]
         yield pa.RecordBatch.from_arrays(
             [*(pa.array(texts, pa.string()) if n == "text" else batch.column(names.index(n)) for n in kept), pa.array(total), pa.array(gone)], [*kept, "n_sentences", "n_removed"]
         )
@@ -191,13 +214,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated spans and runs, with n_sentences (before) and n_removed; columns of those names are replaced.
 
     n_removed counts, of each repeat, the sentences that spans cover or, where they cover none, those that lose words.
-    Null and empty texts stay as they are. Rows sharing a doc_id count as one document and get the same cuts.
+    Null and empty texts stay as they are. Rows sharing a doc_id count as one document and get the same cuts; what two of
+    them share stays. Rows without a doc_id come after all others, each text of theirs being a document of its own.
+    Other columns stay, whatever their names; an empty table gives an empty one; long texts are read whole.
     """
-    docs = docs.select(*[c for c in docs.columns if c not in ("n_sentences", "n_removed", "_cuts")])
+    of = _keyed(set_aside(docs))
     # a document's cuts, neighbouring spans merged by the set; no more than it has sentences and words
-    cuts = repeated_spans(docs).groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("_cuts"))
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return docs.join(cuts, "doc_id", "left").select(*docs.columns, "_cuts").mapInArrow(_remover, schema)
+    cuts = repeated_spans(of).groupBy(F.col("doc_id").alias("cut_id"), F.col("text_key").alias("cut_key")).agg(F.collect_set(F.struct("first", "n")).alias("cuts"))
+    schema = T.StructType([*(f for f in of.schema.fields if f.name != "text_key"), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType())])
+    both = of.join(cuts, of["doc_id"].eqNullSafe(cuts["cut_id"]) & of["text_key"].eqNullSafe(cuts["cut_key"]), "left").select(*of.columns, "cuts")
+    return put_back(both.mapInArrow(_remover, schema), docs.columns, ("n_sentences", "n_removed"))
 
 
 def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
