@@ -1,17 +1,21 @@
 """Secret scans: a battery of randomness tests, in SQL functions only.
 
-Secrets of known form (assignments, access keys, hexadecimal runs) are found by pattern. Beyond these, every run of 20 or
-more letters, digits and + / _ - that has a digit or inner capital is a candidate. Its encoding is inferred from its characters; under that encoding
+Secrets of known form (assignments, access keys, hexadecimal runs) are found by pattern. Beyond these, every whole run of
+20 or more letters, digits and + / _ - is a candidate. Its encoding is inferred from its characters; under that encoding
 three tests ask whether it could be uniformly random: chi-squared over the alphabet, the number of runs
 above and below the alphabet's middle, and lag-1 serial correlation. Their p-values are combined by Fisher's method;
 a candidate that is not random by the battery is no secret.
 
 Short text may look random by luck. How text behaves is measured over all documents: the chance that two characters of
-a candidate of letters alone are equal. Against it, a candidate's chi-squared statistic has a non-central
+a candidate of small letters alone are equal. Against it, a candidate's chi-squared statistic has a non-central
 distribution that moves away from the uniform one in proportion to the candidate's length, of which the lower tail counts;
 and text keeps its digits together, so that changes between digits and others are few for its length, of which the upper
-tail counts. The two make the p-value as text, again by Fisher's method, and those pass the Benjamini-Hochberg rule over
-all candidates of an encoding and class of length. Its threshold comes from counts of p-values in fine bins.
+tail counts. The two make the p-value as text, again by Fisher's method (of letters alone, the first is all there is), and
+those pass the Benjamini-Hochberg rule over all candidates of an encoding and class of length. Its threshold comes from
+counts of p-values in fine bins.
+
+No encoding is left out, but some have little to tell by: of letters alone, runs of about 100 or more are told from text;
+runs of decimal digits look the same whatever they are, and are hexadecimal spans by their form already.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm._table import table
+from quillgraph.llm._table import put_back, set_aside, table
 
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -29,8 +33,7 @@ _ACCESS = "AKIA[A-Z0-9]{14,}"
 _HEX = "[0-9a-f]{16,}"
 SHORTEST = 20
 _CLASS = "[A-Za-z0-9+/_-]"
-#: Whole runs that aren't words by their look: they have a digit, or a capital after a small letter.
-_CANDIDATE = f"(?<!{_CLASS})(?={_CLASS}*?(?:[0-9]|[a-z][A-Z])){_CLASS}{{{SHORTEST},}}={{0,2}}"
+_CANDIDATE = f"(?<!{_CLASS}){_CLASS}{{{SHORTEST},}}={{0,2}}"
 #: The battery's level, and the false discovery rate.
 ALPHA, FDR = 0.001, 0.01
 #: Characters between changes from digits to others or back in text-like tokens, on average, at least.
@@ -40,14 +43,17 @@ _BINS = 600
 #: Matches of one text that are added up in one go.
 _CHUNK = 256
 _LOWER, _UPPER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
-#: Alphabets in the order they are tried: name, pattern, characters, and whether it needs digits and letters to be inferred.
+#: Alphabets in the order they are tried: name, pattern, characters.
 ENCODINGS = [
     ("decimal", "^[0-9]+$", _DIGITS),
     ("hex", "^[0-9a-f]+$", _DIGITS + "abcdef"),
     ("hex_upper", "^[0-9A-F]+$", _DIGITS + "ABCDEF"),
+    ("lower", "^[a-z]+$", _LOWER),
+    ("upper", "^[A-Z]+$", _UPPER),
     ("base32", "^[A-Z2-7]+$", _UPPER + "234567"),
     ("alnum_lower", "^[a-z0-9]+$", _LOWER + _DIGITS),
     ("alnum_upper", "^[A-Z0-9]+$", _UPPER + _DIGITS),
+    ("letters", "^[A-Za-z]+$", _UPPER + _LOWER),
     ("base62", "^[A-Za-z0-9]+$", _UPPER + _LOWER + _DIGITS),
     ("base64", "^[A-Za-z0-9+/=]+$", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64_url", "", _UPPER + _LOWER + _DIGITS + "-_"),
@@ -80,7 +86,7 @@ def _added(x: Column, **fields: Column) -> Column:
 
 def battery(tokens: Column) -> Column:
     """Array of structs with a field token -> with encoding, n, size (of the alphabet), chi2, and p, the combined
-    p-value under uniform randomness, too."""
+    p-value under uniform randomness, too. Padding (=) counts as no character; null and empty arrays stay."""
     step1 = F.transform(tokens, lambda x: _added(x, body=F.regexp_replace(x["token"], "=+$", "")))
 
     def infer(x: Column) -> Column:
@@ -150,8 +156,9 @@ def _text_bin(test: Column, kappa: float) -> Column:
     df = test["size"] - 1
     z = (test["chi2"] - df - away) / F.sqrt(2 * (df + 2 * away))
     changes = 2 * (F.sqrt(test["mixed"] + 0.375) - F.sqrt(test["n"] / TEXT_STRETCH))  # of a Poisson count, about normal
-    half = -F.log(F.greatest(_tail(-z), F.lit(1e-30))) - F.log(F.greatest(_tail(changes), F.lit(1e-30)))
-    return F.least(F.floor(10 * (half - F.log1p(half))), F.lit(_BINS)).cast("int")
+    first = -F.log(F.greatest(_tail(-z), F.lit(1e-30)))
+    half = first - F.log(F.greatest(_tail(changes), F.lit(1e-30)))
+    return F.least(F.floor(10 * F.when(test["encoding"].isin("lower", "upper", "letters"), first).otherwise(half - F.log1p(half))), F.lit(_BINS)).cast("int")
 
 
 def thresholds(docs: DataFrame) -> tuple[float, dict[tuple[str, int], int]]:
@@ -216,9 +223,11 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with spans: array of (kind, start, end) in code points, by start, then kind as listed.
 
     Spans of the battery (kind random) that lie within one of a known form are not repeated. Null and empty texts have
-    none; repeated rows each have theirs; columns named spans are replaced.
+    none; repeated rows each have theirs, and count each in the thresholds; a column named spans is replaced, all others
+    stay. An empty table gives an empty one. Long texts are read whole.
     """
-    keep = [c for c in docs.columns if c != "spans"]
+    columns, docs = docs.columns, set_aside(docs)
+    keep = docs.columns
     kappa, cut = thresholds(docs)
     text = F.coalesce(F.col("text"), F.lit(""))
     value = lambda token: F.length(F.regexp_extract(token, _ASSIGN, 1)) >= 12
@@ -228,7 +237,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
         limit = F.lit(None).cast("int")
         for (e, c), b in sorted(cut.items()):
             limit = F.when((t["encoding"] == e) & (_length_class(t["n"]) == c), F.lit(b)).otherwise(limit)
-        return (t["encoding"] != "decimal") & (t["p"] >= ALPHA) & F.coalesce(_text_bin(t, kappa) >= limit, F.lit(False))
+        return (t["p"] >= ALPHA) & F.coalesce(_text_bin(t, kappa) >= limit, F.lit(False))
 
     none = F.array().cast("array<struct<kind:string,start:int,end:int,token:string>>")
     out = docs.select(*keep, base.alias("_base"), (_matches(text, _CANDIDATE, "random") if cut else none).alias("_candidates"))
@@ -236,7 +245,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     out = out.select(*keep, "_base", F.when(F.size("_candidates") > 0, random).otherwise(none).alias("_random"))
     fresh = F.filter("_random", lambda r: ~F.exists("_base", lambda b: (b["start"] <= r["start"]) & (r["end"] <= b["end"])))
     every = F.transform(F.concat("_base", fresh), lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
-    return out.select(*keep, F.transform(F.array_sort(every), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    out = out.select(*keep, F.transform(F.array_sort(every), lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    return put_back(out, columns, ("spans",))
 
 
 def op2_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
