@@ -5,11 +5,15 @@ pieces merges to itself, and any two neighbours, merged alone, stay as they are:
 the same order whatever surrounds them, so the first merge across a boundary would happen for the two alone too.
 Hence a lattice whose edges are pieces, and where an edge may follow another only if the two are stable, has one
 surviving path to each position, and the last piece of that path is its backpointer. The walk keeps backpointers
-of a window as long as the longest piece; whenever all paths from it pass one boundary, ids up to there are final.
+of a window bounded by the longest piece: only the positions from which a piece may still begin are live, and whenever
+the paths to all live positions share a boundary, ids up to the last such one are final and what lies before it is forgotten.
 
 No piece spans the place before a run of spaces or either side of a line feed, so all paths meet there. The distinct
-segments between such places, of a whole batch of texts, walk their lattices side by side with array operations; a
-segment of more than ``SHORT`` code points, or with a character outside the vocabulary, walks its own.
+segments between such places, of a whole batch of texts, are walked side by side with array operations: the boundaries of
+a path in the window are the bits of one number, and what live paths share is the conjunction of theirs. When only a few
+segments are left, or paths stay apart for a whole window, the same walk goes on from the last final boundary for each
+segment by itself. A character outside the vocabulary is a piece of its own on the way, and bytes in the end.
+Pieces and equal segments are found by hash and compared by their characters.
 """
 
 from __future__ import annotations
@@ -25,12 +29,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm._table import table
+from quillgraph.llm._table import put_back, set_aside, table
 from quillgraph.llm._text import _INV, _POW, mix, utf8
 
 SPACE = "▁"
 CACHE = 100_000
-SHORT = 32
+#: Positions of a window of the side-by-side walk; bits of a number.
+WINDOW = 64
+#: Shared boundaries are looked for at every so many positions. Segments walked side by side, at least.
+_LOOK, _FEW = 8, 64
 _CELLS = 1 << 20
 
 
@@ -101,7 +108,6 @@ class Codec:
             raise ValueError("a piece spans the place before a space or a line feed")
         self._pairs: dict[tuple[str, str], bool] = {}
         self._history: dict[str, list[tuple[float, str, str]]] = {}  # of pieces, so no more than the vocabulary and single characters
-        self._segments: dict[str, bytes] = {}
         if self.alone is None:
             self.alone = np.array([p in self.ids and (len(p) == 1 or self.merged(p) == [p]) for p, _, _ in self.pieces], bool)
         self._prepare()
@@ -110,18 +116,31 @@ class Codec:
         """Arrays for walking many segments at once: pieces by hash, single characters, and a cache of stable pairs."""
         good = [(i, p.replace(SPACE, " ")) for p, i in self.ids.items() if self.alone[i] and len(p) > 1]
         hashes = np.array([int(_sums(_codes(p))[-1]) for _, p in good], np.uint64)
-        order = np.argsort(hashes)
+        order = np.argsort(hashes, kind="stable")
         self._hashes, self._hash_ids = hashes[order], np.array([i for i, _ in good], np.int32)[order]
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two pieces have one hash")
         self._maybe = np.zeros(1 << 22, bool)
         self._maybe[(mix(hashes) >> np.uint64(42)).astype(np.int64)] = True
         self._lengths = np.array(sorted({len(p) for _, p in good}), np.int64)
-        self._single = np.full(0x110001, -1, np.int32)
+        #: piece -> its characters
+        self._spelled = np.zeros((len(self.pieces), self.longest), np.int64)
+        for i, p in good:
+            self._spelled[i, : len(p)] = _codes(p)
+        # a character outside the vocabulary is the piece len(pieces) + its code
+        self._single = np.arange(len(self.pieces), len(self.pieces) + 0x110002, dtype=np.int32)
         for p, i in self.ids.items():
             if len(p) == 1:
                 self._single[ord(p.replace(SPACE, " ")) + 1] = i
         self._cell_key, self._cell_good = np.full(_CELLS, -1, np.int64), np.zeros(_CELLS, bool)
         self._size = np.array([len(p) for p, _, _ in self.pieces], np.int64)
 
+    def _text_of(self, piece: int) -> str:
+        return self.pieces[piece][0] if piece < len(self.pieces) else chr(piece - len(self.pieces) - 1)
+
+    def _sizes(self, pieces: np.ndarray) -> np.ndarray:
+        return np.where(pieces < len(self._size), self._size[np.minimum(pieces, len(self._size) - 1)], 1)
+
     def _stable_ids(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left.astype(np.int64) << 32 | right
         cell = (mix(key.view(np.uint64)) >> np.uint64(44)).astype(np.int64)
@@ -129,19 +148,42 @@ class Codec:
         out = self._cell_good[cell]
         if missing.any():
             fresh, where = np.unique(key[missing], return_inverse=True)
-            good = np.array([self._stable(self.pieces[k >> 32][0], self.pieces[k & 0xFFFFFFFF][0]) for k in fresh.tolist()], bool)[where]
+            good = np.array([self._stable(self._text_of(k >> 32), self._text_of(k & 0xFFFFFFFF)) for k in fresh.tolist()], bool)[where]
             out[missing] = good
             # of keys that share a cell the last stays; both arrays are written in the same order
             self._cell_key[cell[missing]], self._cell_good[cell[missing]] = key[missing], good
         return out
 
     def _walk(self, sums: np.ndarray, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of segments of known characters, longest first, and the offsets of each segment's."""
+        """Pieces of segments, longest first, and the offsets of each segment's."""
         n, longest = len(start), int(size[0]) if len(size) else 0
-        last = np.full((n, longest + 1), -1, np.int32)
+        # of each segment: where its final part ends and with which piece; by position modulo WINDOW the last piece of the path
+        # that ends there (-1: none) and the path's boundaries since the final part
+        done, before = np.zeros(n, np.int64), np.full(n, -1, np.int32)
+        last, path = np.full((n, WINDOW), -1, np.int32), np.zeros((n, WINDOW), np.uint64)
+        final: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (segment, position, piece)
+        alone: list[int] = []
+        gone = np.zeros(n, bool)
+
+        def commit(rows: np.ndarray, to: np.ndarray) -> None:
+            live, at, begin = rows, to.copy(), done[rows]
+            newest = last[rows, to % WINDOW]
+            while len(live):
+                piece = last[live, at % WINDOW]
+                final.append((live, at, piece))
+                at = at - self._sizes(piece)
+                on = at > begin
+                live, at, begin = live[on], at[on], begin[on]
+            before[rows], done[rows] = newest, to
+
         for end in range(1, longest + 1):
             active = int(np.searchsorted(-size, -end, "right"))
-            todo = np.arange(active)
+            todo = np.flatnonzero(~gone[:active])
+            if len(todo) < _FEW:
+                alone += todo.tolist()
+                break
+            column = end % WINDOW
+            last[todo, column] = -1
             for length in (1, *self._lengths.tolist()):
                 begin = end - length
                 if begin < 0 or not len(todo):
@@ -153,46 +195,89 @@ class Codec:
                     value = (sums[at + end] - sums[at + begin]) * _INV[at + begin]
                     some = np.flatnonzero(self._maybe[(mix(value) >> np.uint64(42)).astype(np.int64)])
                     place = np.minimum(np.searchsorted(self._hashes, value[some]), len(self._hashes) - 1)
-                    found = self._hashes[place] == value[some]
+                    found = np.flatnonzero(self._hashes[place] == value[some])
                     piece, rows = self._hash_ids[place[found]], todo[some[found]]
-                if begin:
-                    before = last[rows, begin]
-                    fits = np.flatnonzero(before >= 0)
-                    fits = fits[self._stable_ids(before[fits], piece[fits])]
-                    piece, rows = piece[fits], rows[fits]
+                    spelled = (codes[(start[rows] + begin)[:, None] + np.arange(length)] == self._spelled[piece, :length]).all(axis=1)
+                    piece, rows = piece[spelled], rows[spelled]
+                # a piece begins where the final part ends or where a path ends after it
+                first = done[rows] == begin
+                left = np.where(first, before[rows], np.where(done[rows] < begin, last[rows, begin % WINDOW], -2))
+                fits = np.flatnonzero((left >= 0) | first)
+                follows = fits[left[fits] >= 0]
+                bad = follows[~self._stable_ids(left[follows], piece[follows])]
+                good = np.ones(len(rows), bool)
+                good[bad] = False
+                fits = fits[good[fits]]
+                if len(fits):
+                    piece, rows, first = piece[fits], rows[fits], first[fits]
+                    last[rows, column] = piece
+                    path[rows, column] = np.where(first, np.uint64(0), path[rows, begin % WINDOW]) | np.uint64(1 << column)
+                    todo = todo[last[todo, column] < 0]
+            ended = np.flatnonzero((size[:active] == end) & ~gone[:active])
+            commit(ended, np.full(len(ended), end))
+            if end % _LOOK == 0 and end >= self.longest:
+                rows = np.flatnonzero((size[:active] > end) & ~gone[:active] & (done[:active] <= end - self.longest))
                 if len(rows):
-                    last[rows, end] = piece
-                    todo = todo[last[todo, end] < 0]
-        # the paths back from the segments' ends
-        count = np.zeros(n, np.int64)
-        position, steps = size.copy(), []
-        live = np.arange(n)
-        while len(live):
-            piece = last[live, position[live]]
-            steps.append((live, piece))
-            count[live] += 1
-            position[live] -= self._size[piece]
-            live = live[position[live] > 0]
-        offsets = np.concatenate([[0], np.cumsum(count)])
-        ids = np.empty(offsets[-1], np.int32)
-        for k, (live, piece) in enumerate(steps):
-            ids[offsets[live + 1] - 1 - k] = piece
-        return ids, offsets
+                    shared = np.full(len(rows), ~np.uint64(0))
+                    for p in range(end + 1 - self.longest, end + 1):
+                        shared &= np.where(last[rows, p % WINDOW] >= 0, path[rows, p % WINDOW], ~np.uint64(0))
+                    # the latest shared boundary, counted back from the end
+                    turned = np.roll(((shared[:, None] >> np.arange(WINDOW, dtype=np.uint64)) & np.uint64(1)).astype(bool), WINDOW - 1 - column, axis=1)
+                    back = np.argmax(turned[:, ::-1], axis=1)
+                    some = np.flatnonzero(shared != 0)
+                    rows, back = rows[some], back[some]
+                    commit(rows, end - back)
+                    # boundaries of the final part are forgotten
+                    for row, to in zip(rows.tolist(), (end - back).tolist(), strict=True):
+                        kept = sum(1 << p % WINDOW for p in range(to + 1, end + 1))
+                        path[row] &= np.uint64(kept)
+                # a window that is full before the next look goes on by itself
+                full = np.flatnonzero((size[:active] > end) & ~gone[:active] & (end + _LOOK - done[:active] >= WINDOW))
+                gone[full] = True
+                alone += full.tolist()
+        for row in alone:
+            a, b = int(start[row] + done[row]), int(start[row] + size[row])
+            text = (codes[a:b] - 1).astype("<u4").tobytes().decode("utf-32-le").replace(" ", SPACE)
+            self._final = self._text_of(int(before[row])) if before[row] >= 0 else None
+            pieces = list(self.stream(text))
+            found = np.array([self._piece(x) for x in pieces], np.int32)
+            final.append((np.full(len(found), row), done[row] + np.cumsum([len(x) for x in pieces]), found))
+        if not final:
+            return np.zeros(0, np.int32), np.zeros(n + 1, np.int64)
+        segment, position, piece = (np.concatenate([f[k] for f in final]) for k in range(3))
+        piece = piece[np.lexsort((position, segment))]
+        return piece, np.concatenate([[0], np.cumsum(np.bincount(segment, minlength=n))])
+
+    def _piece(self, text: str) -> int:
+        return self.ids[text] if text in self.ids else len(self.pieces) + ord(text) + 1
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and the len+1 offsets of each text's."""
-        whole = [" " + t.replace(SPACE, " ") if t else "" for t in texts]
+        # a space sign in the text itself is read as a space, as the vocabulary's own encoder does
+        return self._encode([" " + t.replace(SPACE, " ") if t else "" for t in texts])
+
+    def _encode(self, whole: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of texts with their prefix; a long text is taken in parts that end where all paths meet."""
         if sum(map(len, whole)) >= len(_INV):
-            if len(texts) > 1:
-                half = len(texts) // 2
-                (a, m), (b, n) = self.encode_batch(texts[:half]), self.encode_batch(texts[half:])
+            if len(whole) > 1:
+                half = len(whole) // 2
+                (a, m), (b, n) = self._encode(whole[:half]), self._encode(whole[half:])
                 return np.concatenate([a, b]), np.concatenate([m, n[1:] + m[-1]])
-            ids = np.frombuffer(self.encode(texts[0]), np.int32)
+            parts, at = [], 0
+            while len(whole[0]) - at >= len(_INV) and (end := _meeting(whole[0], at, at + len(_INV) // 2)) > at:
+                parts.append(whole[0][at:end])
+                at = end
+            rest = whole[0][at:]
+            if parts:
+                ids, _ = self._encode([*parts, rest])
+            else:  # a single segment
+                self._final = None
+                ids = self._expanded(np.array([self._piece(x) for x in self.stream(rest.replace(" ", SPACE))], np.int32), np.zeros(1, np.int64))[0]
             return ids, np.array([0, len(ids)])
         codes = _codes("".join(whole))
-        at = np.concatenate([[0], np.cumsum([len(t) for t in whole])])
+        at = np.concatenate([[0], np.cumsum([len(t) for t in whole])]).astype(np.int64)
         if not len(codes):
-            return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.int32), np.zeros(len(whole) + 1, np.int64)
         sums = np.concatenate([np.zeros(1, np.uint64), _sums(codes)])
         feed, space = codes == 11, codes == 33
         first = feed.copy()
@@ -202,28 +287,38 @@ class Codec:
         size = np.diff(np.append(start, len(codes)))
         value = mix((sums[start + size] - sums[start]) * _INV[start]) ^ size.astype(np.uint64)
         _, pick, which = np.unique(value, return_index=True, return_inverse=True)
-        known = np.concatenate([[0], np.cumsum(self._single[codes] < 0)])
-        own = (size[pick] > SHORT) | (known[start[pick] + size[pick]] > known[start[pick]])
-        many, few = np.flatnonzero(~own), np.flatnonzero(own)
-        many = many[np.argsort(-size[pick[many]], kind="stable")]
-        ids, offsets = self._walk(sums, codes, start[pick[many]], size[pick[many]])
-        begin, count = np.zeros(len(pick), np.int64), np.zeros(len(pick), np.int64)
-        begin[many], count[many] = offsets[:-1], np.diff(offsets)
-        extra = [ids]
-        done = len(ids)
-        for k in few.tolist():
-            s, n = int(start[pick[k]]), int(size[pick[k]])
-            coded = np.frombuffer(self.segment((codes[s : s + n] - 1).astype("<u4").tobytes().decode("utf-32-le")), np.int32)
-            begin[k], count[k] = done, len(coded)
-            done += len(coded)
-            extra.append(coded)
-        pool = np.concatenate(extra)
-        each = count[which]
+        # a segment whose characters aren't those of its like by hash stands for itself
+        like = start[pick][which]
+        differs = codes[np.arange(len(codes)) + np.repeat(like - start, size)] != codes
+        if differs.any():
+            odd = np.unique(np.searchsorted(start, np.flatnonzero(differs), "right") - 1)
+            which[odd] = len(pick) + np.arange(len(odd))
+            pick = np.concatenate([pick, odd])
+        order = np.argsort(-size[pick], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        pieces, offsets = self._walk(sums, codes, start[pick[order]], size[pick[order]])
+        ids, offsets = self._expanded(pieces, offsets)
+        begin, each = offsets[:-1][place[which]], np.diff(offsets)[place[which]]
         ends = np.cumsum(each)
-        out = pool[np.repeat(begin[which] - (ends - each), each) + np.arange(ends[-1])]
+        out = ids[np.repeat(begin - (ends - each), each) + np.arange(ends[-1])]
         segment_of_text = np.searchsorted(start, at)
         return out, np.concatenate([[0], ends])[segment_of_text]
 
+    def _expanded(self, pieces: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, characters outside the vocabulary as their bytes, and the offsets moved along."""
+        outside = np.flatnonzero(pieces >= len(self.pieces))
+        if not len(outside):
+            return pieces, offsets
+        raw = [self._text_of(int(p)).encode() for p in pieces[outside]]
+        each = np.ones(len(pieces), np.int64)
+        each[outside] = [len(r) for r in raw]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        out = np.repeat(pieces, each)
+        for k, r in zip(outside.tolist(), raw, strict=True):
+            out[ends[k] : ends[k + 1]] = [self.bytes[b] for b in r]
+        return out, ends[offsets]
+
     def merged(self, text: str, seen: list[tuple[float, str, str]] | None = None) -> list[str]:
         """The pieces of a short text by merging the best pair (the leftmost of equals) again and again.
 
@@ -326,27 +421,9 @@ class Codec:
 
     _final: str | None = None
 
-    def segment(self, text: str) -> bytes:
-        """Ids of a segment, as little-endian int32."""
-        known = self._segments.get(text)
-        if known is None:
-            self._final = None
-            out: list[int] = []
-            for piece in self.stream(text.replace(" ", SPACE)):
-                k = self.ids.get(piece)
-                out += [k] if k is not None else [self.bytes[b] for b in piece.encode()]
-            known = np.array(out, "<i4").tobytes()
-            if len(text) <= 64:
-                if len(self._segments) >= CACHE:
-                    self._segments.clear()
-                self._segments[text] = known
-        return known
-
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        # a space sign in the text itself is read as a space, as the vocabulary's own encoder does
-        return b"".join(map(self.segment, _SEGMENT.findall(" " + text.replace(SPACE, " "))))
+        """Ids of a text, as little-endian int32."""
+        return self.encode_batch([text])[0].astype("<i4").tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; invalid UTF-8 from byte pieces is replaced."""
@@ -363,23 +440,34 @@ def _sums(codes: np.ndarray) -> np.ndarray:
     return np.cumsum(codes.astype(np.uint64) * _POW[: len(codes)])
 
 
-_SEGMENT = re.compile(r" *[^ \n]+|\n| +")
+#: Where all paths meet: before a run of spaces, and on either side of a line feed.
+_MEETING = re.compile(r"(?<! )(?= )|(?=\n)|(?<=\n)")
 
 
-def _vocabulary(path: str) -> tuple[list[tuple[str, float, int]], np.ndarray]:
+def _meeting(text: str, at: int, to: int) -> int:
+    """A place after ``at`` where all paths meet: the last one up to ``to``, or else the first one beyond; ``at`` without any."""
+    for low in range(to - 1024, at, -65536):
+        if found := [m.start() for m in _MEETING.finditer(text, max(low, at + 1), to) if m.start() > max(low, at + 1)]:
+            return found[-1]
+    found = next((m.start() for m in _MEETING.finditer(text, at + 1)), len(text))
+    return found if found < len(text) else at
+
+
+def _vocabulary(path: str) -> tuple[list[tuple[str, float, int]], np.ndarray, str]:
+    """Pieces, which of them merge to themselves, and a digest that tells vocabularies apart."""
     codec = Codec(read_model(path))
-    return codec.pieces, codec.alone
+    return codec.pieces, codec.alone, hashlib.sha256(repr(codec.pieces).encode()).hexdigest()
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[str, Codec] = {}
 
 
 def _codec(held) -> Codec:
     """The worker's codec of a broadcast vocabulary, with its caches, kept from task to task."""
-    key = id(held.value)
+    pieces, alone, key = held.value
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(*held.value)
+        _CODECS[key] = Codec(pieces, alone)
     return _CODECS[key]
 
 
@@ -403,10 +491,13 @@ def _encoder(held):
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
-    """``docs`` with ids (array of int) of the text; a null or empty text has none. A column named ids is replaced."""
-    docs = docs.select(*[c for c in docs.columns if c != "ids"])
+    """``docs`` with ids (array of int) of the whole text; a null or empty text has none (an empty array).
+
+    A column named ids is replaced, all others stay; repeated rows each have theirs; an empty table gives an empty one.
+    """
+    of = set_aside(docs)
     held = docs.sparkSession.sparkContext.broadcast(_vocabulary(model_path))  # one vocabulary, about 1 MB
-    return docs.mapInArrow(_encoder(held), T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    return put_back(of.mapInArrow(_encoder(held), T.StructType([*of.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])), docs.columns, ("ids",))
 
 
 def _decoder(held):
@@ -423,10 +514,10 @@ def _decoder(held):
 
 
 def decode(coded: DataFrame, model_path: str) -> DataFrame:
-    """``coded`` with decoded, the text of its ids (null for null ids)."""
-    coded = coded.select(*[c for c in coded.columns if c != "decoded"])
+    """``coded`` with decoded, the text of its ids (null for null ids); a column of that name is replaced, all others stay."""
+    of = set_aside(coded, ("ids",))
     held = coded.sparkSession.sparkContext.broadcast(_vocabulary(model_path))
-    return coded.mapInArrow(_decoder(held), T.StructType([*coded.schema.fields, T.StructField("decoded", T.StringType())]))
+    return put_back(of.mapInArrow(_decoder(held), T.StructType([*of.schema.fields, T.StructField("decoded", T.StringType())])), coded.columns, ("decoded",), ("ids",))
 
 
 def default_model() -> str:
