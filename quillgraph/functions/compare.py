@@ -39,8 +39,11 @@ def compare_float(left: Column, op: str, right: float) -> Column:
     return OPS[op](left, F.lit(right)) & ~F.isnan(left)
 
 
-def compare_typed(left: Column, kind: str, op: str, value: Literal) -> Column:
-    """A column of one kind (bool, int, float or text; null where the key is missing) against a literal; never null."""
+def compare_typed(left: Column, kind: str, op: str, value: Literal, filters: bool = False) -> Column:
+    """A column of one kind (bool, int, float or text; null where the key is missing) against a literal; never null.
+
+    As a filter, null where false is as good, and the plain comparison reaches the file scan.
+    """
     other = kind_of(value)
     if kind == other and kind in ("bool", "int", "text"):
         found = OPS[op](left, F.lit(value))
@@ -48,7 +51,7 @@ def compare_typed(left: Column, kind: str, op: str, value: Literal) -> Column:
         found = compare_float(left.cast("double"), op, float(value))
     else:
         return F.lit(False)
-    return F.coalesce(found, F.lit(False))
+    return found if filters else F.coalesce(found, F.lit(False))
 
 
 def compare_value(left: Column, op: str, value: Literal) -> Column:

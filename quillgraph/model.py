@@ -59,6 +59,13 @@ class Table:
     label: str | None = None
     #: property name -> kind, for columns p_<name>
     props: dict[str, str] = field(default_factory=dict)
+    #: for a table of many labels: property name -> (column, kind) of typed copies of its values; whether these are all names
+    typed: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
+    complete: bool = False
+    #: column by which files are laid out, with the label behind a mark
+    label_folder: str | None = None
+    #: the least and the largest id that edges begin at, if known
+    src_range: tuple[int, int] | None = None
 
     def general(self, edges: bool) -> DataFrame:
         keys = ["id", "src", "dst"] if edges else ["id"]
@@ -103,6 +110,11 @@ class PropertyGraph:
         """The structure alone: id, src, dst, weight."""
         return reduce(DataFrame.unionByName, (t.df.select("id", "src", "dst", "weight") for t in self.edge_tables))
 
+    def label_column(self, nodes: bool = True) -> DataFrame:
+        """(label) of every node, or edge."""
+        tables = self.node_tables if nodes else self.edge_tables
+        return reduce(DataFrame.unionByName, (t.df.select(F.col("label") if t.label is None else F.lit(t.label).alias("label")) for t in tables))
+
 
 def show_value(value: Literal) -> str:
     if value is None:

@@ -18,17 +18,13 @@ def count_edges(graph: PropertyGraph) -> DataFrame:
     return graph.links().agg(F.count(F.lit(1)).alias("count"))
 
 
-def _labels(graph: PropertyGraph) -> DataFrame:
-    return reduce(DataFrame.unionByName, (t.df.select(F.col("label") if t.label is None else F.lit(t.label).alias("label")) for t in graph.node_tables))
-
-
 def label_stats(graph: PropertyGraph) -> DataFrame:
     """(label, n), most frequent first, ties by label."""
-    return _labels(graph).groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
+    return graph.label_column().groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label")
 
 
 def label_count(graph: PropertyGraph, label: str) -> DataFrame:
-    return _labels(graph).where(F.col("label") == label).agg(F.count(F.lit(1)).alias("n"))
+    return graph.label_column().where(F.col("label") == label).agg(F.count(F.lit(1)).alias("n"))
 
 
 def node_ids_by_label(graph: PropertyGraph, label: str) -> DataFrame:
@@ -37,7 +33,7 @@ def node_ids_by_label(graph: PropertyGraph, label: str) -> DataFrame:
 
 
 def all_labels(graph: PropertyGraph) -> DataFrame:
-    return _labels(graph).distinct()
+    return graph.label_column().distinct()
 
 
 def _keys(graph: PropertyGraph) -> DataFrame:

@@ -1,7 +1,8 @@
 """Breadth-first and depth-first traversal along outgoing edges.
 
-Breadth-first runs one round of joins a level: the frontier meets the edges, nodes already seen are taken out, and the
-round's result is checkpointed. Nothing but counts reaches the driver. The order of a level is by the parent's
+Breadth-first runs one round of joins a level: the frontier meets the edges that it can leave by, nodes already seen are
+taken out, and the round's result is checkpointed. A frontier of known, small size is broadcast, so that edges aren't
+shuffled for it. Nothing but counts reaches the driver. The order of a level is by the parent's
 position, then by edge id. Depth-first order is sequential by nature: the reachable part is found as above and, if
 it isn't larger than a limit, ordered in one task.
 """
@@ -16,48 +17,57 @@ from pyspark.sql import functions as F
 
 from quillgraph.errors import ScanTooLarge
 from quillgraph.model import PropertyGraph
+from quillgraph.operators.adjacency import Adjacency, small
 from quillgraph.operators.rounds import numbered, saved
 
 MAX_DFS_EDGES = 5_000_000
 
 
 class TraversalAlgorithm(Protocol):
-    """A user's own algorithm over node ids (id) and links (id, src, dst, weight)."""
+    """An order of the nodes that ``start`` reaches, as (pos, node_id); users may have their own."""
 
-    def traverse(self, nodes: DataFrame, links: DataFrame, start: int) -> DataFrame: ...
+    def traverse(self, graph: PropertyGraph, start: int) -> DataFrame: ...
 
 
 def bfs_levels(graph: PropertyGraph, start: int) -> DataFrame:
     """(node_id, level), each reachable node once; empty if ``start`` isn't a node."""
-    links = graph.links().select("src", "dst")
+    edges = Adjacency(graph, "src", "dst")
     frontier = saved(graph.node_ids().where(F.col("id") == start).limit(1).select(F.col("id").alias("node_id"), F.lit(0).alias("level")))
-    seen, level = frontier, 0
-    while not frontier.isEmpty():
+    seen, total, level = frontier, 0, 0
+    while True:
+        n, wanted = edges.frontier(frontier)
+        total += n
+        links = edges.links(wanted) if n else None
+        if links is None:
+            return seen
         level += 1
-        reached = frontier.join(links, F.col("node_id") == F.col("src")).select(F.col("dst").alias("node_id")).distinct()
-        frontier = saved(reached.join(seen, "node_id", "left_anti").select("node_id", F.lit(level).alias("level")))
+        reached = links.join(small(frontier.select("node_id"), n), F.col("node_id") == F.col("src"), "left_semi").select(F.col("dst").alias("node_id")).distinct()
+        frontier = saved(reached.join(small(seen.select("node_id"), total), "node_id", "left_anti").select("node_id", F.lit(level).alias("level")))
         seen = seen.unionByName(frontier)
         if level % 8 == 0:
             seen = saved(seen)
-    return seen
 
 
 def bfs(graph: PropertyGraph, start: int) -> DataFrame:
     """(pos, node_id, level) in order of discovery."""
-    links = graph.links().select("src", "dst", "id")
+    edges = Adjacency(graph, "src", "dst", "id")
     frontier = saved(graph.node_ids().where(F.col("id") == start).limit(1).select(F.lit(0).cast("long").alias("pos"), F.col("id").alias("node_id"), F.lit(0).alias("level")))
-    seen, level, n = frontier, 0, 1
-    while not frontier.isEmpty():
+    seen, level, total = frontier, 0, 0
+    while True:
+        n, wanted = edges.frontier(frontier)
+        total += n
+        links = edges.links(wanted) if n else None
+        if links is None:
+            return seen
         level += 1
-        reached = frontier.join(links, F.col("node_id") == F.col("src")).groupBy(F.col("dst").alias("found")).agg(F.min(F.struct("pos", "id")).alias("by"))
-        fresh = reached.join(seen.select(F.col("node_id").alias("found")), "found", "left_anti").select("found", F.col("by.pos").alias("parent"), F.col("by.id").alias("edge"))
-        placed = numbered(fresh, ["parent", "edge"], "pos", n)
+        reached = links.join(small(frontier.select("pos", "node_id"), n), F.col("node_id") == F.col("src")).groupBy(F.col("dst").alias("found")).agg(F.min(F.struct("pos", "id")).alias("by"))
+        known = small(seen.select(F.col("node_id").alias("found")), total)
+        fresh = reached.join(known, "found", "left_anti").select("found", F.col("by.pos").alias("parent"), F.col("by.id").alias("edge"))
+        placed = numbered(fresh, ["parent", "edge"], "pos", total)
         frontier = saved(placed.select("pos", F.col("found").alias("node_id"), F.lit(level).alias("level")))
-        n += frontier.count()
         seen = seen.unionByName(frontier)
         if level % 8 == 0:
             seen = saved(seen)
-    return seen
 
 
 def reachable(graph: PropertyGraph, start: int) -> DataFrame:
@@ -97,3 +107,16 @@ def dfs(graph: PropertyGraph, start: int, max_edges: int = MAX_DFS_EDGES) -> Dat
     only = graph.spark.createDataFrame([(-1, start, start)], "id long, src long, dst long")  # so that a start without edges is a group too
     run = _depth_first(start)
     return links.unionByName(only).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(lambda pdf: run(pdf[pdf["id"] >= 0].sort_values("id")), "pos long, node_id long")
+
+
+class BreadthFirst:
+    def traverse(self, graph: PropertyGraph, start: int) -> DataFrame:
+        return bfs(graph, start)
+
+
+class DepthFirst:
+    def __init__(self, max_edges: int = MAX_DFS_EDGES) -> None:
+        self.max_edges = max_edges
+
+    def traverse(self, graph: PropertyGraph, start: int) -> DataFrame:
+        return dfs(graph, start, self.max_edges)

@@ -1,7 +1,8 @@
 """Commands as DataFrames, and a description of each plan with an estimate of its cost.
 
 Catalyst picks the access path; a plan's description only says which part of the data it needs: a label's tables, rows
-that a pushed-down comparison leaves, or everything.
+that a pushed-down comparison leaves, or everything. Which files are passed over is seen in Spark's own plan, which
+``LoggedGraph.explain`` shows below the description.
 """
 
 from __future__ import annotations
@@ -9,30 +10,42 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import and_
+from operator import and_, or_
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.compare import compare_float, compare_typed, compare_value
 from quillgraph.model import PropertyGraph, Table, show_value
 from quillgraph.plans.commands import Command, Condition, CountEdges, CountNodes, GetEdge, GetNode, MatchEdges, MatchNodes, ShortestPath, Traverse
 
+# Fixed values of plan texts: the order in which comparisons are named, and what an index scan is said to cost.
 _RANK = {"=": 0, "<": 2, "<=": 2, ">": 2, ">=": 2, "!=": 4}
+_INDEX_SHARE = 10
+
+#: What stands before a label in the folders of a layout by label.
+FOLDER_MARK = "l"
 
 
 def _predicate(table: Table, condition: Condition) -> Column | bool:
     """A column, or False where no row of the table can match, True where all do."""
     where, op, value = condition.target, condition.op, condition.value
     if where[0] == "label":
+        if table.label_folder is not None:
+            return F.col(table.label_folder) == F.lit(FOLDER_MARK + value)
         return table.label == value if table.label is not None else F.col("label") == F.lit(value)
     if where[0] == "weight":
-        return F.coalesce(compare_float(F.col("weight"), op, float(value)), F.lit(False))
+        return compare_float(F.col("weight"), op, float(value))
     if table.label is None:
+        if where[1] in table.typed and value is not None:
+            return reduce(or_, (compare_typed(F.col(c), kind, op, value, filters=True) for c, kind in table.typed[where[1]]))
+        if table.complete and where[1] not in table.typed:
+            return False
         return compare_value(F.col("properties")[where[1]], op, value)
     if where[1] not in table.props:
         return False
-    return compare_typed(F.col(f"p_{where[1]}"), table.props[where[1]], op, value)
+    return compare_typed(F.col(f"p_{where[1]}"), table.props[where[1]], op, value, filters=True)
 
 
 def _match(tables: list[Table], conditions: tuple[Condition, ...], edges: bool) -> DataFrame:
@@ -58,10 +71,42 @@ def match_edges(graph: PropertyGraph, conditions: tuple[Condition, ...] = ()) ->
     return _match(graph.edge_tables, conditions, True)
 
 
-def build(graph: PropertyGraph, command: Command) -> DataFrame:
-    """The DataFrame of a command: nodes, edges, (pos, node_id[, level]), (pos, node_id, dist) or (count)."""
-    from quillgraph.operators import paths, statistics, traversal
+def prunes(table: Table, condition: Condition) -> bool:
+    """Whether files or row groups of a table can be passed over by a condition, rather than read and filtered."""
+    where = condition.target
+    if where[0] == "label":
+        return table.label is not None or table.label_folder is not None
+    return where[0] == "weight" or where[1] in table.props or where[1] in table.typed or table.label is not None or table.complete
+
+
+class QueryContext(Protocol):
+    """What commands ask of a graph; :class:`PropertyGraph` is one."""
+
+    spark: SparkSession
+    node_tables: list[Table]
+    edge_tables: list[Table]
+
+    def nodes(self) -> DataFrame: ...
+    def edges(self) -> DataFrame: ...
+    def node_ids(self) -> DataFrame: ...
+    def links(self) -> DataFrame: ...
+
+
+def default_algorithms() -> dict[str, object]:
+    """What TRAVERSE BFS, TRAVERSE DFS and PATH run."""
+    from quillgraph.operators import paths, traversal
+
+    return {"BFS": traversal.BreadthFirst(), "DFS": traversal.DepthFirst(), "PATH": paths.Dijkstra()}
+
+
+def build(graph: QueryContext, command: Command, algorithms: dict[str, object] | None = None) -> DataFrame:
+    """The DataFrame of a command: nodes, edges, (pos, node_id[, level]), (pos, node_id, dist) or (count).
+
+    ``algorithms`` may have others under the names of :func:`default_algorithms`.
+    """
+    from quillgraph.operators import statistics
 
+    use = default_algorithms() | (algorithms or {})
     if isinstance(command, MatchNodes):
         return match_nodes(graph, command.conditions)
     if isinstance(command, MatchEdges):
@@ -71,9 +116,9 @@ def build(graph: PropertyGraph, command: Command) -> DataFrame:
     if isinstance(command, GetEdge):
         return graph.edges().where(F.col("id") == command.id)
     if isinstance(command, Traverse):
-        return traversal.bfs(graph, command.start) if command.kind == "BFS" else traversal.dfs(graph, command.start)
+        return use[command.kind].traverse(graph, command.start)
     if isinstance(command, ShortestPath):
-        return paths.shortest_path(graph, command.start, command.goal)
+        return use["PATH"].find_shortest_path(graph, command.start, command.goal)
     return statistics.count_nodes(graph) if isinstance(command, CountNodes) else statistics.count_edges(graph)
 
 
@@ -91,7 +136,7 @@ def _shortcut(conditions: tuple[Condition, ...], stats: GraphStatistics) -> tupl
     label = next((c.value for c in conditions if c.target == ("label",)), None)
     by_label = stats.labels.get(label, 0) if label is not None else n
     known = [c for c in conditions if c.target[0] == "prop" and c.target[1] in stats.fields]
-    by_property = math.ceil(math.log2(n)) + n // 10 if n else 0
+    by_property = math.ceil(math.log2(n)) + n // _INDEX_SHARE if n else 0
     if known and by_property <= by_label and by_property < n:
         best = min(known, key=lambda c: _RANK[c.op])
         return f"PropertyIndexScan({best.target[1]} {best.op} {show_value(best.value)})", by_property

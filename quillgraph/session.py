@@ -4,22 +4,29 @@ from __future__ import annotations
 
 import itertools
 import sys
+import threading
 import time
-from collections.abc import Callable
 from dataclasses import dataclass, field, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.errors import NodeNotFound, ScanTooLarge
+from quillgraph.errors import GraphError, NodeNotFound, ScanTooLarge
 from quillgraph.functions.compare import Literal
-from quillgraph.model import PropertyGraph, show_edge, show_node
+from quillgraph.model import PropertyGraph, Table, show_edge, show_node
 from quillgraph.operators import statistics
 from quillgraph.operators.rounds import saved
 from quillgraph.plans.commands import CountEdges, CountNodes, GetEdge, GetNode, MatchEdges, MatchNodes, ShortestPath, Traverse
 from quillgraph.plans.languages import LANGUAGES, Language, split_prefix
-from quillgraph.plans.planner import GraphStatistics, build, describe, estimated_rows
+from quillgraph.plans.planner import GraphStatistics, build, describe, estimated_rows, prunes
 from quillgraph.sources import change_log
+from quillgraph.sources.cache import Cache, LruCache, NoCache
+from quillgraph.sources.storage import FileStorage, Storage
+
+#: Changes since the log was read that are held as Python rows; more are put with the log's.
+MAX_PENDING = 5_000
+#: Ids of nodes known to live that insert_edge needn't look up.
+MAX_KNOWN = 100_000
 
 
 @dataclass
@@ -29,6 +36,9 @@ class Config:
     max_full_scan_nodes: int | None = None
     slow_query_warn_ms: float = 100.0
     form: str = "json"  # or binary
+    #: Nodes and edges kept between point lookups; 0: none.
+    cache_nodes: int = 4096
+    cache_edges: int = 8192
     #: Property names that plan descriptions treat as indexed: None for all, a list for some.
     indexed_node_fields: list[str] | None = None
 
@@ -39,6 +49,7 @@ class Metrics:
     nodes_deleted: int = 0
     edges_inserted: int = 0
     edges_deleted: int = 0
+    #: of the cache of point lookups
     node_hits: int = 0
     node_misses: int = 0
     edge_hits: int = 0
@@ -115,67 +126,70 @@ class CommitResult:
 
 
 class LoggedGraph:
-    """A property graph in a folder ``path`` of log files. Files appear whole or not at all, so a commit is atomic in both
-    formats; batches of changes, not single ones, are the way to load data."""
-
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, languages: dict[str, Language] | None = None) -> None:
-        self.spark, self.path, self.config = spark, path.rstrip("/"), config or Config()
-        self.languages = dict(languages or LANGUAGES)
+    """A property graph in a folder ``path``, or in another :class:`Storage`. A batch of changes is there whole or not at
+    all, so a commit is atomic; batches, not single changes, are the way to load data.
+
+    The log is read when the graph is opened; later changes are laid over it without reading it again. Threads may share
+    a graph: changes take turns, and a query runs on the graph as it was when it began.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str | None = None,
+        config: Config | None = None,
+        languages: dict[str, Language] | None = None,
+        algorithms: dict[str, object] | None = None,
+        storage: Storage | None = None,
+        cache: Cache | None = None,
+    ) -> None:
+        self.spark, self.config = spark, config or Config()
+        if storage is None and path is None:
+            raise GraphError("a graph needs a path or a storage")
+        self.storage = storage or FileStorage(spark, path, self.config.form)
+        self.languages, self.algorithms = dict(languages or LANGUAGES), dict(algorithms or {})
+        both = self.config.cache_nodes and self.config.cache_edges
+        self.cache: Cache = cache or (LruCache(self.config.cache_nodes, self.config.cache_edges) if both else NoCache())
         self.metrics = Metrics()
-        self._graph: PropertyGraph | None = None
-        self._stats: GraphStatistics | None = None
+        self.lock = threading.RLock()
         self._writes = 0
-        self._generation = self._current()
-        self._next = {"node": 0, "edge": 0}
-        if not self._empty():
-            changes = self._changes()
+        self._read()
+        self._next = self.storage.next_ids()
+        if self._log is not None:
             # ids of deleted records aren't used again
-            for r in changes.groupBy(F.col("op").endswith("_node").alias("is_node")).agg(F.max("id").alias("m"), F.max(F.when(F.col("op").startswith("upsert"), F.col("id"))).alias("u")).collect():
-                self._next["node" if r.is_node else "edge"] = (r.u if r.u is not None else -1) + 1
-        self._file = itertools.count(self._last_file() + 1)
+            for r in self._log.groupBy(F.col("op").endswith("_node").alias("is_node")).agg(F.max(F.when(F.col("op").startswith("upsert"), F.col("id"))).alias("u")).collect():
+                kind = "node" if r.is_node else "edge"
+                self._next[kind] = max(self._next[kind], (r.u if r.u is not None else -1) + 1)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, config: Config | None = None) -> LoggedGraph:
         return cls(spark, path, config)
 
-    # -- files
-
-    def _fs(self):
-        target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return target.getFileSystem(self.spark._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[str]:
-        fs, target = self._fs(), self.spark._jvm.org.apache.hadoop.fs.Path(folder)
-        return sorted(s.getPath().getName() for s in fs.listStatus(target)) if fs.exists(target) else []
-
-    def _current(self) -> int:
-        """The newest generation whose writing ended."""
-        done = [int(n[4:]) for n in self._names(self.path) if n.startswith("gen-") and "DONE" in self._names(f"{self.path}/{n}")]
-        return max(done, default=0)
-
-    def _folder(self) -> str:
-        return f"{self.path}/gen-{self._generation}/log"
-
-    def _files(self) -> list[str]:
-        return [n for n in self._names(self._folder()) if not n.startswith(("_", ".")) and not n.endswith(".tmp")]
-
-    def _empty(self) -> bool:
-        return not self._files()
-
-    def _last_file(self) -> int:
-        return max((int(n[6:18]) for n in self._files() if n.startswith("batch-")), default=0)
-
-    def _changes(self) -> DataFrame:
-        paths = f"{self._folder()}/*[!p]"
-        return change_log.read_json(self.spark, paths) if self.config.form == "json" else change_log.read_binary(self.spark, paths)
+    def _read(self) -> None:
+        """Takes tables and log from the storage; nothing is pending then."""
+        self._tables = self.storage.tables()
+        log = self.storage.changes()
+        self._log = None if log is None else saved(log)
+        self._logged = 0 if log is None else self._log.count()
+        self._pending: list[tuple] = []
+        #: node -> whether it lives, of those that pending changes touch, and of some others
+        self._known: dict[int, bool] = {}
+        self._graph: PropertyGraph | None = None
+        self._stats: GraphStatistics | None = None
+        self.cache.clear()
 
     def _append(self, changes: list[tuple], transaction: int | None = None) -> None:
-        if self.config.form == "json":
-            content = "".join(change_log.json_line(c) + "\n" for c in changes).encode()
-        else:
-            body = b"".join(map(change_log.binary_record, changes)) if transaction is None else change_log.transaction_bytes(transaction, changes)
-            content = change_log.header() + body
-        change_log.write_bytes(self.spark, f"{self._folder()}/batch-{next(self._file):012d}.log", content)
+        self.storage.append(changes, transaction)
+        for op, i, *_ in changes:
+            kind = op.rpartition("_")[2]
+            self.cache.drop(kind, i)
+            if kind == "node":
+                self._known[i] = op.startswith("upsert")
+                if not self._known[i]:
+                    self.cache.clear()  # its edges go too
+        if len(self._known) > MAX_KNOWN:
+            self._known.clear()
+        self._pending += changes
         self._graph = self._stats = None
         self._writes += len(changes)
         self.metrics.writes += len(changes)
@@ -186,41 +200,66 @@ class LoggedGraph:
                 print(f"auto-compaction failed: {e}", file=sys.stderr)
 
     def _take(self, kind: str) -> int:
-        self._next[kind] += 1
-        return self._next[kind] - 1
+        with self.lock:
+            self._next[kind] += 1
+            return self._next[kind] - 1
 
     # -- reading
 
     @property
     def graph(self) -> PropertyGraph:
-        """The live graph, replayed once after each change."""
-        if self._graph is None:
-            if self._empty():
-                self._graph = PropertyGraph.local(self.spark, [], [])
-            else:
-                nodes, edges = change_log.replay(self._changes())
-                self._graph = PropertyGraph.of(saved(nodes), saved(edges))
-        return self._graph
+        """The live graph: the tables, with the log and pending changes laid over them."""
+        with self.lock:
+            if self._graph is None:
+                if self._pending:
+                    rows = change_log.rows_of(self.spark, self._pending, "~", self._logged)
+                    every = rows if self._log is None else self._log.unionByName(rows)
+                    if len(self._pending) > MAX_PENDING:
+                        # places grow from the log's on, so that the order stays when they are put with it
+                        every = self._log = saved(every)
+                        self._logged += len(self._pending)
+                        self._pending = []
+                else:
+                    every = self._log
+                nodes, edges = self._tables
+                if every is not None:
+                    nodes, edges = change_log.overlay(nodes, edges, every, self._logged + len(self._pending))
+                    # what the log itself gives is small or soon compacted; the tables keep their layout
+                    nodes, edges = ([*t[:-1], Table(saved(t[-1].df))] for t in (nodes, edges))
+                empty = PropertyGraph.local(self.spark, [], [])
+                self._graph = PropertyGraph(self.spark, nodes or empty.node_tables, edges or empty.edge_tables)
+            return self._graph
 
     def statistics(self) -> GraphStatistics:
-        if self._stats is None:
-            g = self.graph
-            labels = {r.label: r.n for r in statistics.label_stats(g).collect()}
-            names = [r.key for r in statistics.property_keys(g).collect()]
-            if self.config.indexed_node_fields is not None:
-                names = [n for n in names if n in self.config.indexed_node_fields]
-            self._stats = GraphStatistics(sum(labels.values()), g.links().count(), labels, names)
-        return self._stats
+        with self.lock:
+            if self._stats is None:
+                g = self.graph
+                labels = {r.label: r.n for r in statistics.label_stats(g).collect()}
+                names = [r.key for r in statistics.property_keys(g).collect()]
+                if self.config.indexed_node_fields is not None:
+                    names = [n for n in names if n in self.config.indexed_node_fields]
+                self._stats = GraphStatistics(sum(labels.values()), g.links().count(), labels, names)
+            return self._stats
+
+    def _lookup(self, kind: str, key: int):
+        """A record by id, from the cache or else from the graph."""
+        with self.lock:
+            row, graph = self.cache.get(kind, key), self.graph
+            name = f"{kind}_{'misses' if row is None else 'hits'}"
+            setattr(self.metrics, name, getattr(self.metrics, name) + 1)
+        if row is None:
+            row = (graph.nodes() if kind == "node" else graph.edges()).where(F.col("id") == key).first()
+            if row is not None:
+                with self.lock:
+                    if self._graph is graph:
+                        self.cache.put(kind, key, row)
+        return row
 
     def get_node(self, node: int):
-        row = self.graph.nodes().where(F.col("id") == node).first()
-        setattr(self.metrics, "node_hits" if row else "node_misses", getattr(self.metrics, "node_hits" if row else "node_misses") + 1)
-        return row
+        return self._lookup("node", node)
 
     def get_edge(self, edge: int):
-        row = self.graph.edges().where(F.col("id") == edge).first()
-        setattr(self.metrics, "edge_hits" if row else "edge_misses", getattr(self.metrics, "edge_hits" if row else "edge_misses") + 1)
-        return row
+        return self._lookup("edge", edge)
 
     def query(self, text: str, language: str = "simple") -> DataFrame:
         """The DataFrame of a query; a simple: or cypher: prefix overrides ``language``."""
@@ -229,10 +268,13 @@ class LoggedGraph:
         command = self.languages[language].parse(text)
         if self.config.max_full_scan_nodes is not None and (n := estimated_rows(command, self.statistics())) > self.config.max_full_scan_nodes:
             raise ScanTooLarge(f"the query reads about {n} rows; the limit is {self.config.max_full_scan_nodes}")
-        out = build(self.graph, command)
+        graph = self.graph
+        out = build(graph, command, self.algorithms)
         if isinstance(command, (MatchNodes, MatchEdges)):
-            name = "index_scans" if isinstance(command, MatchNodes) and command.conditions else "full_scans"
-            setattr(self.metrics, name, getattr(self.metrics, name) + 1)
+            # an index scan passes over files or row groups of every table but what the log itself gives
+            tables = [t for t in (graph.node_tables if isinstance(command, MatchNodes) else graph.edge_tables) if t.label or t.label_folder]
+            pruned = bool(tables) and any(all(prunes(t, c) for t in tables) for c in command.conditions)
+            self._count("index_scans" if pruned else "full_scans")
         self._timed(text, began)
         return out
 
@@ -245,129 +287,131 @@ class LoggedGraph:
         self._timed(text, began, count=False)
         return render(command, rows)
 
+    def _count(self, name: str, by: float = 1) -> None:
+        with self.lock:
+            setattr(self.metrics, name, getattr(self.metrics, name) + by)
+
     def _timed(self, text: str, began: float, count: bool = True) -> None:
         ms = (time.perf_counter() - began) * 1000
-        self.metrics.queries += count
-        self.metrics.query_ms += ms
+        self._count("queries", int(count))
+        self._count("query_ms", ms)
         if ms >= self.config.slow_query_warn_ms:
-            self.metrics.slow_queries += 1
+            self._count("slow_queries")
             print(f"slow query ({ms:.0f} ms): {text}", file=sys.stderr)
 
     def explain(self, text: str, language: str = "simple") -> str:
         """The plan as described, and as Spark runs it."""
         name, body = split_prefix(text, language)
         command = self.languages[name].parse(body)
-        df = build(self.graph, command)
+        df = build(self.graph, command, self.algorithms)
         return f"{describe(command, self.statistics())}\n{df._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString('formatted'))}"
 
+    def traverse(self, start: int, algorithm="BFS") -> DataFrame:
+        """(pos, node_id) by a traversal of that name or a user's own :class:`TraversalAlgorithm`."""
+        return build(self.graph, Traverse("own", start), {"own": algorithm}) if not isinstance(algorithm, str) else build(self.graph, Traverse(algorithm, start), self.algorithms)
+
+    def find_shortest_path(self, start: int, goal: int, algorithm=None) -> DataFrame:
+        """(pos, node_id, dist) by the graph's algorithm or a user's own :class:`ShortestPathAlgorithm`."""
+        return build(self.graph, ShortestPath(start, goal), self.algorithms if algorithm is None else {"PATH": algorithm})
+
     # -- changes
 
     def _has(self, node: int) -> bool:
-        return not self.graph.node_ids().where(F.col("id") == node).isEmpty()
+        if node not in self._known:
+            self._known[node] = not self.graph.node_ids().where(F.col("id") == node).isEmpty()
+        return self._known[node]
 
     def insert_node(self, label: str, properties: dict[str, Literal] | None = None) -> int:
-        i = self._take("node")
-        self._append([("upsert_node", i, None, None, label, None, properties or {})])
-        self.metrics.nodes_inserted += 1
-        return i
+        with self.lock:
+            i = self._take("node")
+            self._append([("upsert_node", i, None, None, label, None, properties or {})])
+            self.metrics.nodes_inserted += 1
+            return i
 
     def insert_edge(self, src: int, dst: int, label: str, weight: float = 1.0, properties: dict[str, Literal] | None = None) -> int:
-        for node in (src, dst):
-            if not self._has(node):
-                raise NodeNotFound(node)
-        i = self._take("edge")
-        self._append([("upsert_edge", i, src, dst, label, float(weight), properties or {})])
-        self.metrics.edges_inserted += 1
-        return i
+        with self.lock:
+            for node in (src, dst):
+                if not self._has(node):
+                    raise NodeNotFound(node)
+            i = self._take("edge")
+            self._append([("upsert_edge", i, src, dst, label, float(weight), properties or {})])
+            self.metrics.edges_inserted += 1
+            return i
 
     def delete_node(self, node: int) -> None:
         """Its edges go too. A node that isn't there is no error."""
-        self._append([("delete_node", node, None, None, None, None, {})])
-        self.metrics.nodes_deleted += 1
+        with self.lock:
+            self._append([("delete_node", node, None, None, None, None, {})])
+            self.metrics.nodes_deleted += 1
 
     def delete_edge(self, edge: int) -> None:
-        self._append([("delete_edge", edge, None, None, None, None, {})])
-        self.metrics.edges_deleted += 1
+        with self.lock:
+            self._append([("delete_edge", edge, None, None, None, None, {})])
+            self.metrics.edges_deleted += 1
 
     def begin_transaction(self) -> Transaction:
         return Transaction(self)
 
     def commit_transaction(self, txn: Transaction) -> CommitResult:
         """All of it or, if an edge's end is missing, nothing."""
-        ends = {e for c in txn.changes if c[0] == "upsert_edge" for e in (c[2], c[3])}
-        outside = sorted(ends - {c[1] for c in txn.changes if c[0] == "upsert_node"})
-        if outside:
-            there = {r.id for r in self.graph.node_ids().where(F.col("id").isin(outside)).collect()}
-        staged: set[int] = set()
-        gone: set[int] = set()
-        for c in txn.changes:
-            if c[0] == "upsert_node":
-                staged.add(c[1])
-            elif c[0] == "delete_node":
-                gone.add(c[1])
-                staged.discard(c[1])
-            elif c[0] == "upsert_edge":
-                for end in (c[2], c[3]):
-                    if not (end in staged or (outside and end in there and end not in gone)):
-                        self.rollback_transaction(txn)
-                        raise NodeNotFound(end)
-        txn.open = False
-        if txn.changes:
-            self._append(txn.changes, txn.id)
-        kinds = [c[0] for c in txn.changes]
-        self.metrics.nodes_inserted += kinds.count("upsert_node")
-        self.metrics.edges_inserted += kinds.count("upsert_edge")
-        self.metrics.nodes_deleted += kinds.count("delete_node")
-        self.metrics.edges_deleted += kinds.count("delete_edge")
-        self.metrics.transactions_committed += 1
-        return CommitResult(txn.id, [c[1] for c in txn.changes if c[0] == "upsert_node"], [c[1] for c in txn.changes if c[0] == "upsert_edge"], sum(k.startswith("delete") for k in kinds))
+        with self.lock:
+            if not txn.open:
+                raise GraphError(f"transaction {txn.id} has ended")
+            # the ends of edges that live outside the transaction, looked up in one go
+            ends = {e for c in txn.changes if c[0] == "upsert_edge" for e in (c[2], c[3])} - {c[1] for c in txn.changes if c[0] == "upsert_node"}
+            asked = sorted(ends - self._known.keys())
+            if asked:
+                there = {r.id for r in self.graph.node_ids().where(F.col("id").isin(asked)).collect()}
+                self._known.update((e, e in there) for e in asked)
+            staged: set[int] = set()
+            gone: set[int] = set()
+            for c in txn.changes:
+                if c[0] == "upsert_node":
+                    staged.add(c[1])
+                elif c[0] == "delete_node":
+                    gone.add(c[1])
+                    staged.discard(c[1])
+                elif c[0] == "upsert_edge":
+                    for end in (c[2], c[3]):
+                        if not (end in staged or (end not in gone and self._known.get(end, False))):
+                            self.rollback_transaction(txn)
+                            raise NodeNotFound(end)
+            txn.open = False
+            if txn.changes:
+                self._append(txn.changes, txn.id)
+            kinds = [c[0] for c in txn.changes]
+            self.metrics.nodes_inserted += kinds.count("upsert_node")
+            self.metrics.edges_inserted += kinds.count("upsert_edge")
+            self.metrics.nodes_deleted += kinds.count("delete_node")
+            self.metrics.edges_deleted += kinds.count("delete_edge")
+            self.metrics.transactions_committed += 1
+            return CommitResult(txn.id, [c[1] for c in txn.changes if c[0] == "upsert_node"], [c[1] for c in txn.changes if c[0] == "upsert_edge"], sum(k.startswith("delete") for k in kinds))
 
     def rollback_transaction(self, txn: Transaction) -> None:
-        txn.changes, txn.open = [], False
-        self.metrics.transactions_rolled_back += 1
+        with self.lock:
+            txn.changes, txn.open = [], False
+            self.metrics.transactions_rolled_back += 1
 
     def compact(self) -> None:
-        """Rewrites the live graph as a new generation, which counts once its DONE file is there."""
-        g, following = self.graph, self._generation + 1
-        folder = f"{self.path}/gen-{following}"
-        if self.config.form == "json":
-            change_log.write_json(g.nodes(), g.edges(), f"{folder}/log")
-        else:
-            _write_binary(self.spark, g, f"{folder}/log")
-        change_log.write_bytes(self.spark, f"{folder}/DONE", b"")
-        self._generation, self._writes = following, 0
-        self._file = itertools.count(self._last_file() + 1)
-        self._graph = self._stats = None
-        self.metrics.compactions += 1
+        """Writes the live graph as tables, by the executors, and goes on with an empty log."""
+        with self.lock:
+            g = self.graph
+            self.storage.compact(g.nodes(), g.edges(), dict(self._next))
+            self._read()
+            self._writes = 0
+            self.metrics.compactions += 1
 
     def wal_size_bytes(self) -> int:
-        return change_log.log_bytes(self.spark, self._folder())
+        return self.storage.size()
 
     def reset_metrics(self) -> None:
-        self.metrics = Metrics()
+        with self.lock:
+            self.metrics = Metrics()
 
 
-def _write_binary(spark: SparkSession, g: PropertyGraph, folder: str) -> None:
-    """One file a partition of nodes, then of edges, each written from rows taken partition by partition."""
-    from quillgraph.model import untagged
-
-    def batches(rows, make: Callable):
-        part: list = []
-        for r in rows:
-            part.append(make(r))
-            if len(part) >= 100_000:
-                yield part
-                part = []
-        if part:
-            yield part
-
-    props = lambda r: {k: untagged(v) for k, v in (r["properties"] or {}).items()}
-    both = itertools.chain(
-        batches(g.nodes().toLocalIterator(), lambda r: ("upsert_node", r["id"], None, None, r["label"], None, props(r))),
-        batches(g.edges().toLocalIterator(), lambda r: ("upsert_edge", r["id"], r["src"], r["dst"], r["label"], r["weight"], props(r))),
-    )
-    for k, part in enumerate(both):
-        change_log.write_bytes(spark, f"{folder}/base-{k:012d}.log", change_log.header() + b"".join(map(change_log.binary_record, part)))
+def cardinality(command, df: DataFrame) -> int:
+    """Records that a command's result has: of a count the number counted, else its rows."""
+    return df.first()["count"] if isinstance(command, (CountNodes, CountEdges)) else df.count()
 
 
 def render(command, rows: list) -> str:

@@ -7,6 +7,7 @@ delete_node, delete_edge; :func:`replay` turns them into the live graph by last-
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import struct
@@ -14,15 +15,18 @@ import uuid
 import warnings
 import zlib
 from collections.abc import Iterable, Iterator
+from dataclasses import replace
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph._ship import ship
 from quillgraph.errors import LogError
 from quillgraph.functions.compare import Literal, kind_of
-from quillgraph.model import VALUE, PropertyGraph, tagged
+from quillgraph.model import VALUE, PropertyGraph, Table, tagged, untagged
+from quillgraph.operators.adjacency import small
 
 CHANGES = f"file string, place long, op string, id long, src long, dst long, label string, weight double, properties map<string,{VALUE}>"
 # Fixed values of the formats.
@@ -169,15 +173,18 @@ class _Reader:
 
 
 def decode(raw: bytes, name: str = "log") -> list[Change]:
+    return list(decoded(raw, name))
+
+
+def decoded(raw: bytes, name: str = "log") -> Iterator[Change]:
     """Changes of a binary log in order. Records with a wrong checksum are passed over with a warning; a cut-off record ends
     the log; changes of a transaction count from its COMMIT on, upserts before deletes, and not at all without it."""
     if not raw:
-        return []
+        return
     r = _Reader(raw)
     if raw[:4] != MAGIC or len(raw) < 8 or struct.unpack_from("<I", raw, 4)[0] != VERSION:
         raise LogError(f"{name}: not a version {VERSION} log")
     r.at = 8
-    out: list[Change] = []
     pending: list[Change] | None = None
     open_txn = None
     while r.at < len(raw):
@@ -209,24 +216,27 @@ def decode(raw: bytes, name: str = "log") -> list[Change]:
             pending, open_txn = [], number
         elif kind in (COMMIT, ROLLBACK):
             if kind == COMMIT and pending is not None and number == open_txn:
-                out += [c for c in pending if c[0].startswith("upsert")] + [c for c in pending if c[0].startswith("delete")]
+                yield from (c for c in pending if c[0].startswith("upsert"))
+                yield from (c for c in pending if c[0].startswith("delete"))
             pending = open_txn = None
+        elif change is not None and pending is None:
+            yield change
         elif change is not None:
-            (out if pending is None else pending).append(change)
-    return out
+            pending.append(change)
 
 
 def _decoder(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows = [(path, k, op, i, s, d, label, w, {n: dict(zip("tbids", tagged(v), strict=True)) for n, v in props.items()}) for k, (op, i, s, d, label, w, props) in enumerate(decode(bytes(content), path))]
-            for lo in range(0, len(rows), 10_000):
-                out = pd.DataFrame(rows[lo : lo + 10_000], columns=["file", "place", "op", "id", "src", "dst", "label", "weight", "properties"])
+            changes = enumerate(decoded(bytes(content), path))
+            while rows := [(path, k, op, i, s, d, label, w, {n: dict(zip("tbids", tagged(v), strict=True)) for n, v in props.items()}) for k, (op, i, s, d, label, w, props) in itertools.islice(changes, 10_000)]:
+                out = pd.DataFrame(rows, columns=["file", "place", "op", "id", "src", "dst", "label", "weight", "properties"])
                 yield out.astype({"src": "Int64", "dst": "Int64", "weight": "Float64"})
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """Changes of binary log files; a file is decoded by one task, files side by side."""
+    """Changes of binary log files. A file's records can only be told apart from its beginning on, so one task decodes it, and
+    holds its bytes and one transaction; files are decoded side by side. Spark reads files of up to 2 GB so."""
     ship(spark)
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_decoder, CHANGES)
 
@@ -249,14 +259,34 @@ def replay(changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select("id", "src", "dst", "label", "weight", "properties")
 
 
-def committed(records: DataFrame) -> DataFrame:
-    """Of records (place, op, txn, …): changes outside transactions (txn null) and those before a commit of their transaction.
-
-    Markers are op commit and rollback; a transaction without a commit counts as rolled back.
-    """
-    done = records.where("op = 'commit'").groupBy("txn").agg(F.max("place").alias("until"))
-    changes = records.where("op not in ('begin', 'commit', 'rollback')")
-    return changes.join(done, "txn", "left").where("txn is null or place < until").drop("until")
+def rows_of(spark: SparkSession, changes: list[Change], file: str, first: int = 0) -> DataFrame:
+    """Changes as rows of the schema CHANGES, in their order."""
+    rows = [(file, first + k, op, i, s, d, label, None if w is None else float(w), {n: tagged(v) for n, v in props.items()}) for k, (op, i, s, d, label, w, props) in enumerate(changes)]
+    return spark.createDataFrame(rows, CHANGES)
+
+
+def overlay(node_tables: list[Table], edge_tables: list[Table], changes: DataFrame, n: int) -> tuple[list[Table], list[Table]]:
+    """The tables of a graph after ``n`` changes: what they touch is taken out of the tables, which keep their layout, and
+    what lives of them is a further table. Edges that a deleted node had are gone."""
+    last = changes.withColumn("at", F.struct("file", "place")).groupBy(F.col("op").endswith("_node").alias("is_node"), "id").agg(F.max_by(F.struct("op", "src", "dst", "label", "weight", "properties", "at"), "at").alias("x"))
+    deleted = changes.where("op = 'delete_node'").groupBy("id").agg(F.max(F.struct("file", "place")).alias("gone"))
+    touched = {kind: small(last.where("is_node" if kind == "node" else "not is_node").select("id"), n) for kind in ("node", "edge")}
+    rest = [replace(t, df=t.df.join(touched["node"], "id", "left_anti")) for t in node_tables]
+    nodes = last.where("is_node and x.op = 'upsert_node'").select("id", "x.label", "x.properties")
+    edges = last.where("not is_node and x.op = 'upsert_edge'").select("id", "x.*")
+    live = nodes.select("id")
+    for t in rest:
+        live = live.unionByName(t.df.select("id"))
+    for end in ("src", "dst"):
+        edges = edges.join(live.select(F.col("id").alias(end)), end, "left_semi")
+        edges = edges.join(small(deleted.select(F.col("id").alias(end), F.col("gone").alias(f"gone_{end}")), n), end, "left").where(f"gone_{end} is null or gone_{end} < at")
+    kept = []
+    for t in edge_tables:
+        df = t.df.join(touched["edge"], "id", "left_anti")
+        for end in ("src", "dst"):
+            df = df.join(small(deleted.select(F.col("id").alias(end)), n), end, "left_anti")
+        kept.append(replace(t, df=df.select(*t.df.columns)))
+    return [*rest, Table(nodes)], [*kept, Table(edges.select("id", "src", "dst", "label", "weight", "properties"))]
 
 
 def graph_of(spark: SparkSession, path: str, form: str = "json") -> PropertyGraph:
@@ -300,10 +330,41 @@ def write_json(graph_nodes: DataFrame, graph_edges: DataFrame, path: str) -> Non
     graph_nodes.select(node.alias("value")).unionByName(graph_edges.select(edge.alias("value"))).write.mode("append").text(path)
 
 
+def _separator() -> str:
+    """A rollback record whose bytes are all ASCII: it means nothing outside a transaction, so it may stand between records."""
+    return next(raw.decode() for raw in (record(ROLLBACK, struct.pack("<Q", k)) for k in itertools.count(1)) if max(raw) < 128 and 10 not in raw and 13 not in raw)
+
+
+def _blocks(node: bool):
+    """Rows as blocks of records, the first of a file after the header."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = header()
+        for batch in batches:
+            out: list[bytes] = []
+            for r in batch.to_pylist():
+                props = {k: untagged(v) for k, v in r["properties"] or ()}
+                out.append(binary_record(("upsert_node", r["id"], None, None, r["label"], None, props) if node else ("upsert_edge", r["id"], r["src"], r["dst"], r["label"], r["weight"], props)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([first + b"".join(out)], pa.binary())], ["block"])
+                first = b""
+
+    return run
+
+
+def write_binary(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """The whole graph as upserts in binary log files, written by the executors; nodes in files before edges.
+
+    Blocks of records go through Spark's text writer, whose line separator is a record without effect.
+    """
+    ship(nodes.sparkSession)
+    for rows, name in ((nodes, "base-0-nodes"), (edges, "base-1-edges")):
+        blocks = rows.hint("rebalance").mapInArrow(_blocks(name.endswith("nodes")), "block binary")
+        blocks.select(F.col("block").cast("string").alias("value")).write.option("lineSep", _separator()).text(f"{path}/{name}")
+
+
 def log_bytes(spark: SparkSession, path: str) -> int:
     """Size of a log by the file system's content summary; 0 if it isn't there."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
     return fs.getContentSummary(target).getLength() if fs.exists(target) else 0
-
-
