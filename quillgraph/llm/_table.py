@@ -100,20 +100,20 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         links.where("a <> b and a is not null and b is not null").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     for _ in range(rounds):
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # what a hub's neighbours need of it is kept as a table of one row a node: a join with it that meets a hub of many
         # rows can then be split by adaptive execution, which it can't behind an aggregate of the same key
-        both = saved(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         # large star: every larger neighbour of a node is linked to the node's smallest neighbour (or itself)
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = saved(large.where("u <> v").distinct())
+        large = large.where("u <> v").distinct()
         # small star: a node's smaller neighbours, and itself, are linked to the smallest of them
-        low = saved(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         following = saved(small.where("u <> v").distinct())
         # settled: every node has one edge, and no node is both an end and a centre
-        open_ends = following.groupBy("u").count().where("count > 1").select("u").unionByName(following.join(following.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u"))
-        done = open_ends.isEmpty()
+        ends = following.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(following.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        done = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
         edges = following
         if done:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(

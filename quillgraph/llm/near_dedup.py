@@ -11,9 +11,10 @@ No step lists all pairs of a group. Equal shingle sets are one class with one re
 representative is compared with one of the bucket only, its centre; links become components. Two that were compared with
 one centre but still lie in different components may be alike nevertheless. Such members are joined by prefixes: of sets
 ordered alike, rare shingles first, two that are alike enough share one of the first few, whatever the order. Texts
-around a common passage have prefixes of their own words, so that they don't meet. Members of several components
-that share a prefix shingle are compared in pairs of blocks of bounded size, those outside the largest component
-with all. After that every candidate pair was either checked or is joined by checked links.
+around a common passage have prefixes of their own words, so that they don't meet. A centre's members that share prefix
+shingles with others, of other components, form a group, in which those outside the largest component are
+compared with all, in pairs of blocks of bounded size; where many are outside, each shingle has a group of its own. After
+that every candidate pair was either checked or is joined by checked links.
 
 Keys that many rows share (a set, a band key, a centre, a common shingle) meet only tables that are kept with one row a
 key, in joins that adaptive execution can split, or are dealt into blocks.
@@ -37,8 +38,9 @@ BANDS, ROWS = 24, 4
 MANTISSA = 10
 #: The estimate of 96 registers has a deviation of at most 0.05; pairs are verified from 4 of them below the threshold on.
 MARGIN = 0.2
-#: Shingles of a block of members that are compared with a centre, or with those of another block.
-BLOCK = 1 << 19
+#: Shingles of a block of members that are compared with a centre, which each block has a copy of, or with those of another
+#: block; and of members outside a group's largest component, from which on shingles have groups of their own.
+BLOCK, APART = 1 << 14, 1 << 17
 #: Counters by which shingles are ordered, common ones last. More shingles share them; any order gives the same links.
 COUNTERS = 1 << 18
 _RNG = np.random.default_rng(7)
@@ -193,42 +195,67 @@ def _between(percent: int):
             good = (roots != roots[x]) & (100 * both >= percent * (size + size[x] - both))
             if two:  # pairs within a block are looked at elsewhere
                 good &= block != block[x]
-            found += [(max(ids[x], ids[y]), min(ids[x], ids[y])) for y in np.flatnonzero(good)]
+            some = np.flatnonzero(good)
+            # one link to each component tells as much as all
+            for y in some[np.unique(roots[some], return_index=True)[1]]:
+                found.append((max(ids[x], ids[y]), min(ids[x], ids[y])))
         kind = group.schema.field("doc_id").type
         return pa.table({"a": pa.array([a for a, _ in found], kind), "b": pa.array([b for _, b in found], kind)})
 
     return run
 
 
+def _compared(groups: DataFrame, key: list[str], plan: DataFrame, texts: DataFrame, percent: int, pair: T.StructType) -> DataFrame:
+    """Links between members (a, set, root) of different roots in each group of ``key``; ``plan`` has a group's largest root
+    (main), that one's shingles (most) and all (size)."""
+    # p blocks of what is outside of the largest component, then q of that component; a single block of a small group
+    whole = F.col("size") <= BLOCK
+    p, q = F.when(whole, 1).otherwise(F.ceil((F.col("size") - F.col("most")) / BLOCK)), F.when(whole, 0).otherwise(F.ceil(F.col("most") / BLOCK))
+    plan = saved(plan.select(*key, "main", p.cast("int").alias("p"), q.cast("int").alias("q")))
+    dealt = groups.join(plan, key).withColumn("main", F.col("root") == F.col("main"))
+    own, apart = F.xxhash64("a", "set"), F.col("main") & (F.col("q") > 0)
+    dealt = dealt.withColumn("block", F.when(apart, F.col("p") + F.pmod(own, F.greatest("q", F.lit(1)))).otherwise(F.pmod(own, F.col("p"))).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(apart, F.col("p")).otherwise(F.col("p") + F.col("q")) - 1)))
+    dealt = dealt.select(*key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("a").alias("doc_id"), "set", "root", "main")
+    return dealt.join(texts, ["doc_id", "set"]).groupBy(*key, "i", "j").applyInArrow(_between(percent), pair)
+
+
+def _plan(groups: DataFrame, key: list[str]) -> DataFrame:
+    by_root = groups.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("size"))
+    largest = F.struct("n", "root")
+    return by_root.groupBy(*key).agg(F.max_by("root", largest).alias("main"), F.max_by("size", largest).alias("most"), F.sum("size").alias("size"))
+
+
 def _remainder(around: DataFrame, texts: DataFrame, percent: int, pair: T.StructType) -> DataFrame:
     """Links (a, b) between members (a, set, root) of different roots, of ``around`` (centre b, set_b)."""
-    spark = around.sparkSession
-    torn = saved(around.groupBy("b", "set_b").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("b", "set_b"))
-    loose = saved(around.join(torn, ["b", "set_b"]).select("a", "set", "root").distinct())
+    spark, key = around.sparkSession, ["b", "set_b"]
+    torn = saved(around.groupBy(*key).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(*key))
+    loose = saved(around.join(torn, key))
     if loose.isEmpty():
         return spark.createDataFrame([], pair)
-    of = loose.join(texts.withColumnRenamed("doc_id", "a"), ["a", "set"])
+    of = loose.select("a", "set", "root").distinct().join(texts.withColumnRenamed("doc_id", "a"), ["a", "set"])
     counted = of.select("text").mapInArrow(_counters, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows
     common = np.zeros(COUNTERS, np.int64)
     common[counted["counter"].to_numpy()] = counted["n"].to_numpy()
     held = spark.sparkContext.broadcast(common)  # 2 MB
     fields = {f.name: f for f in loose.schema.fields}
     prefix = saved(of.mapInArrow(_prefixes(held, percent), T.StructType([T.StructField("shingle", T.LongType()), fields["a"], fields["set"], fields["root"], T.StructField("n", T.LongType())])))
-    # shingles of several components; of those that the same members have, one
+    # shingles of several components
     tags = [F.bit_xor(F.xxhash64("a", "set", F.lit(k))).alias(f"tag_{k}") for k in (1, 2)]
-    shared = prefix.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("members"), *tags).where("least <> most")
-    chosen = saved(shared.groupBy("members", "tag_1", "tag_2").agg(F.min("shingle").alias("shingle")).select("shingle"))
-    groups = saved(prefix.join(chosen, "shingle"))
-    by_root = groups.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("size"))
-    plan = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.max_by("size", F.struct("n", "root")).alias("most"), F.sum("size").alias("size"))
-    # blocks of what is outside of the largest component, then those of that component
-    plan = saved(plan.select("shingle", "main", F.ceil((F.col("size") - F.col("most")) / BLOCK).cast("int").alias("p"), F.ceil(F.col("most") / BLOCK).cast("int").alias("q")))
-    dealt = groups.join(plan, "shingle").withColumn("main", F.col("root") == F.col("main"))
-    own = F.xxhash64("a", "set")
-    dealt = dealt.withColumn("block", F.when(F.col("main"), F.col("p") + F.pmod(own, F.col("q"))).otherwise(F.pmod(own, F.col("p"))).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("main"), F.col("p")).otherwise(F.col("p") + F.col("q")) - 1)))
-    dealt = dealt.select("shingle", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("a").alias("doc_id"), "set", "root", "main")
-    return saved(dealt.join(texts, ["doc_id", "set"]).groupBy("shingle", "i", "j").applyInArrow(_between(percent), pair).distinct())
+    shared = prefix.groupBy("shingle").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("members"), *tags)
+    shared = saved(shared.where("least <> most").drop("least", "most"))
+    bound = prefix.join(shared.select("shingle"), "shingle").select("a", "set", "n").distinct()
+    member = saved(loose.join(bound, ["a", "set"]))
+    plan = saved(_plan(member, key).where("size > most"))
+    outside = F.col("size") - F.col("most")
+    found = _compared(member, key, plan.where(outside <= APART), texts, percent, pair)
+    many = plan.where(outside > APART).select(*key)
+    if not many.isEmpty():
+        # of shingles that the same members have, one; a group of them needs no centre
+        chosen = saved(shared.groupBy("members", "tag_1", "tag_2").agg(F.min("shingle").alias("shingle")).select("shingle"))
+        groups = saved(prefix.join(chosen, "shingle").join(member.join(many, key).select("a", "set").distinct(), ["a", "set"]))
+        found = found.unionByName(_compared(groups, ["shingle"], _plan(groups, ["shingle"]), texts, percent, pair))
+    return saved(found.distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -249,7 +276,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # a class is known by its representative and half of its set's key, as one doc_id may represent several
     reps = saved(some.groupBy(*whole).agg(F.min(F.struct("doc_id", "regs", "bands")).alias("x")).select(*whole, F.col("x.doc_id").alias("rep"), "x.regs", "x.bands"))
     several = saved(some.groupBy("doc_id").agg(F.min("set_a").alias("least"), F.max("set_a").alias("most")).where("least <> most").select("doc_id"))
-    own = some.select("doc_id", *whole).join(several, "doc_id").distinct().join(reps.select(*whole, "rep"), whole).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
+    own = None
+    if not several.isEmpty():
+        own = some.select("doc_id", *whole).join(several, "doc_id").distinct().join(reps.select(*whole, "rep"), whole).select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).where("a <> b")
 
     # equal keys of several representatives
     member = reps.select(F.col("rep").alias("a"), F.col("set_a").alias("set"), F.explode("bands").alias("key"))
@@ -272,11 +301,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     centres = dealt.select("b", "set_b", "block").distinct().select("b", "set_b", "block", F.lit(0).alias("role"), F.col("b").alias("doc_id"), F.col("set_b").alias("set"))
     meet = dealt.unionByName(centres).join(texts, ["doc_id", "set"]).select("b", "set_b", "block", "role", F.col("doc_id").alias("a"), "text")
     meet = meet.repartition("b", "set_b", "block").sortWithinPartitions("b", "set_b", "block", "role")
-    links = saved(meet.mapInArrow(_with_centre(percent), pair).distinct().unionByName(own))
+    links = meet.mapInArrow(_with_centre(percent), pair)
+    links = saved(links if own is None else links.unionByName(own))
 
     parts = components(links)
     around = star.select("b", "set_b", "a", F.col("set_a").alias("set")).join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    roots = components(links.unionByName(_remainder(around, texts, percent, pair)))
+    rest = _remainder(around, texts, percent, pair)
+    # what is found there joins components that are settled otherwise
+    roots = parts if rest.isEmpty() else components(rest.unionByName(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     of_class = saved(reps.select(*whole, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*whole, F.coalesce("root", "rep").alias("component_id")))
     linked = some.select("doc_id", *whole).join(of_class, whole).select("doc_id", "n_shingles", "component_id")
     alone = sig.where(~linkable | F.col("doc_id").isNull()).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -53,6 +53,7 @@ def around_a_licence(rng, n):
 @pytest.mark.parametrize("block", [near_dedup.BLOCK, 700])
 def test_a_bucket_of_many_unlike_members(spark, block, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "APART", block // 2)
     rows = around_a_licence(np.random.default_rng(3), 60)
     check(spark, rows)
 
@@ -87,7 +88,10 @@ def test_unlike_members_of_a_bucket_do_not_meet(spark):
     assert sum(n * n for n in seen) < len(rows) ** 2 / 4
 
 
-def test_borderline_chains(spark):
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 300])
+def test_borderline_chains(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "APART", block)
     # each is like its neighbours only, so that links run through many that aren't like the centre
     base = [f"w{k}" for k in range(400)]
     rows = [(k, " ".join(base[4 * k : 4 * k + 120])) for k in range(30)]
