@@ -160,7 +160,8 @@ class Codec:
         # of each segment: where its final part ends and with which piece; by position modulo WINDOW the last piece of the path
         # that ends there (-1: none) and the path's boundaries since the final part
         done, before = np.zeros(n, np.int64), np.full(n, -1, np.int32)
-        last, path = np.full((n, WINDOW), -1, np.int32), np.zeros((n, WINDOW), np.uint64)
+        n_long = int(np.searchsorted(-size, -self.longest, "left"))
+        last, path = np.full((n, WINDOW), -1, np.int32), np.zeros((n_long, WINDOW), np.uint64)
         final: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (segment, position, piece)
         alone: list[int] = []
         gone = np.zeros(n, bool)
@@ -197,22 +198,22 @@ class Codec:
                     place = np.minimum(np.searchsorted(self._hashes, value[some]), len(self._hashes) - 1)
                     found = np.flatnonzero(self._hashes[place] == value[some])
                     piece, rows = self._hash_ids[place[found]], todo[some[found]]
+                # a piece begins where the final part ends, after its last piece, or where a path ends after it
+                if begin:
+                    here = done[rows]
+                    left = np.where(here == begin, before[rows], np.where(here < begin, last[rows, begin % WINDOW], -1))
+                    fits = np.flatnonzero(left >= 0)
+                    fits = fits[self._stable_ids(left[fits], piece[fits])]
+                    piece, rows = piece[fits], rows[fits]
+                if length > 1 and len(rows):
                     spelled = (codes[(start[rows] + begin)[:, None] + np.arange(length)] == self._spelled[piece, :length]).all(axis=1)
                     piece, rows = piece[spelled], rows[spelled]
-                # a piece begins where the final part ends or where a path ends after it
-                first = done[rows] == begin
-                left = np.where(first, before[rows], np.where(done[rows] < begin, last[rows, begin % WINDOW], -2))
-                fits = np.flatnonzero((left >= 0) | first)
-                follows = fits[left[fits] >= 0]
-                bad = follows[~self._stable_ids(left[follows], piece[follows])]
-                good = np.ones(len(rows), bool)
-                good[bad] = False
-                fits = fits[good[fits]]
-                if len(fits):
-                    piece, rows, first = piece[fits], rows[fits], first[fits]
+                if len(rows):
                     last[rows, column] = piece
-                    path[rows, column] = np.where(first, np.uint64(0), path[rows, begin % WINDOW]) | np.uint64(1 << column)
                     todo = todo[last[todo, column] < 0]
+                    # segments that end within a window of the longest piece need no path
+                    rows = rows[: np.searchsorted(rows, n_long)]
+                    path[rows, column] = np.where(done[rows] == begin, np.uint64(0), path[rows, begin % WINDOW]) | np.uint64(1 << column)
             ended = np.flatnonzero((size[:active] == end) & ~gone[:active])
             commit(ended, np.full(len(ended), end))
             if end % _LOOK == 0 and end >= self.longest:
