@@ -112,6 +112,7 @@ def features(data: np.ndarray, at: np.ndarray, lexicon: list[np.ndarray]) -> np.
     sign = (data > 32) & (data < 127) & ~upper & ~lower & ~digit
     same = np.zeros(len(data), bool)
     same[1:] = data[1:] == data[:-1]
+    same[at[:-1][at[:-1] < len(data)]] = False  # a text's first byte follows none
     letters = np.maximum(1, per_text(upper | lower))
     # the text without signs, look-alikes read as letters
     plain = np.isin(data, np.frombuffer(_SIGNS, np.uint8), invert=True)
@@ -122,6 +123,8 @@ def features(data: np.ndarray, at: np.ndarray, lexicon: list[np.ndarray]) -> np.
     inner_digit = np.zeros(len(data), bool)
     if len(data) > 2:
         inner_digit[1:-1] = (digit | sign)[1:-1] & (lower | upper)[:-2] & (lower | upper)[2:]
+        ends = np.concatenate([at[:-1], at[1:] - 1])
+        inner_digit[ends[(ends >= 0) & (ends < len(data))]] = False
     total_hits = per_word(anyhit)
     out = np.stack(
         [
