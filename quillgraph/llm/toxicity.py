@@ -3,8 +3,8 @@
 The features of a text are densities of lexicon words (whole words and word beginnings, learned from labelled
 training texts, a few known insults first), nearness of second-person words to them, and rates of capitals, punctuation, digits, repeats and
 obfuscation (letters written as digits or signs, or parted by signs). All are computed from the text's bytes for a
-whole batch at once. A bounded sample of labelled rows is split by document in halves: each half's features come
-from the other's lexicon, and its margins for the calibration from trees fitted on the other; the model itself has
+whole batch at once. A bounded sample of labelled rows is split by document in folds: each fold's features come
+from the others' lexicon, and its margins for the calibration from trees fitted on the others; the model itself has
 the lexicon and trees of all. It is a few arrays that every executor holds.
 """
 
@@ -29,6 +29,8 @@ MAX_ROWS = 20_000
 #: Toxic texts that a lexicon's word stands in, at least, and how much likelier it is in them than in clean ones. All such
 #: words of the bounded sample are in the lexicon.
 SUPPORT, LIFT = 3, 5.0
+#: Parts of the sample, of which each is measured by what the others teach.
+FOLDS = 5
 PREFIXES = (4, 6)
 #: Second-person words of the languages at hand.
 SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch euer tu te toi ton ta tes vous votre vos tú ti usted ustedes tus su vosotros".split()
@@ -248,14 +250,14 @@ class Toxicity:
 
 
 def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(kind, half, term, toxic texts, clean texts) of each batch's texts, each term once a text."""
+    """(kind, fold, term, toxic texts, clean texts) of each batch's texts, each term once a text."""
     for batch in batches:
-        label, half = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+        label, fold = batch.column(1).to_numpy(), batch.column(2).to_numpy()
         for lo, hi, data, at in blocks(batch.column(0)):
             words = Words(data, at, ALNUM)
             for kind, terms in enumerate(_terms(words)):
-                for h in (0, 1):
-                    mine = (terms != 0) & (half[lo:hi][words.doc] == h)
+                for h in range(FOLDS):
+                    mine = (terms != 0) & (fold[lo:hi][words.doc] == h)
                     pairs = np.unique(np.stack([words.doc.astype(np.uint64), terms], axis=1)[mine], axis=0)
                     if not len(pairs):
                         continue
@@ -264,20 +266,21 @@ def _label_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                     total = np.bincount(at_term, minlength=len(found))
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(len(found), kind, np.int32)), pa.array(np.full(len(found), h, np.int64)), pa.array(found.view(np.int64)), pa.array(toxic), pa.array(total - toxic)],
-                        ["kind", "half", "term", "toxic", "clean"],
+                        ["kind", "fold", "term", "toxic", "clean"],
                     )
 
 
 def _measure(held):
-    """Features by the lexicon of the other half."""
+    """Features by the lexicon of the other folds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            half = batch.column(2).to_numpy()
-            for lo, hi, data, at in blocks(batch.column(0)):
-                both = [features(data, at, lexicon) for lexicon in held.value]
-                x = np.where((half[lo:hi] == 0)[:, None], both[1], both[0])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i)[lo:hi] for i in (1, 2)), pa.array(list(x), pa.list_(pa.float64()))], ["label", "half", "x"])
+            fold = batch.column(2).to_numpy()
+            for lexicon_of, lexicon in enumerate(held.value):
+                part = batch.filter(pa.array(fold == lexicon_of))
+                for lo, hi, data, at in blocks(part.column(0)):
+                    x = features(data, at, lexicon)
+                    yield pa.RecordBatch.from_arrays([*(part.column(i)[lo:hi] for i in (1, 2)), pa.array(list(x), pa.list_(pa.float64()))], ["label", "fold", "x"])
 
     return run
 
@@ -292,32 +295,32 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxicit
     """
     spark = docs.sparkSession
     known = one_label(labels, "toxic")
-    chosen = known.withColumn("draw", F.xxhash64(F.col("doc_id"), F.lit("toxicity"))).orderBy("draw", "doc_id").limit(max_rows).select("doc_id", "label", F.pmod("draw", F.lit(2)).alias("half"))
-    sample = saved(labelled_texts(docs, chosen).select("text", "label", "half"))
-    counts = {(r.half, r.label): r.n for r in sample.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = known.withColumn("draw", F.xxhash64(F.col("doc_id"), F.lit("toxicity"))).orderBy("draw", "doc_id").limit(max_rows).select("doc_id", "label", F.pmod("draw", F.lit(FOLDS)).alias("fold"))
+    sample = saved(labelled_texts(docs, chosen).select("text", "label", "fold"))
+    counts = {(r.fold, r.label): r.n for r in sample.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = sum(n for (_, label), n in counts.items() if label == 1) / max(1, sum(counts.values()))
-    seen = saved(sample.mapInArrow(_label_counts, "kind int, half long, term long, toxic long, clean long").groupBy("kind", "half", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
+    seen = saved(sample.mapInArrow(_label_counts, "kind int, fold long, term long, toxic long, clean long").groupBy("kind", "fold", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
-    def lexicon(halves: tuple[int, ...]) -> list[np.ndarray]:
-        toxic, clean = (sum(n for (h, label), n in counts.items() if h in halves and label == k) for k in (1, 0))
+    def lexicon(folds: list[int]) -> list[np.ndarray]:
+        toxic, clean = (sum(n for (h, label), n in counts.items() if h in folds and label == k) for k in (1, 0))
         lift = (F.col("toxic") + 0.5) * (max(1, clean) / max(1, toxic)) / (F.col("clean") + 0.5)
-        terms = seen.where(F.col("half").isin(*halves)).groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+        terms = seen.where(F.col("fold").isin(*folds)).groupBy("kind", "term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         rows = terms.where((F.col("toxic") >= SUPPORT) & (lift >= LIFT)).select("kind", "term").collect()  # words of max_rows texts
         found = [np.array([r.term for r in rows if r.kind == k], np.int64).view(np.uint64) for k in range(_TERM_KINDS)]
         return [np.unique(np.concatenate([found[0], _SEEDS])), *(np.sort(x) for x in found[1:])]
 
-    held = spark.sparkContext.broadcast([lexicon((0,)), lexicon((1,))])
-    every = lexicon((0, 1))
-    rows = sample.mapInArrow(_measure(held), "label int, half long, x array<double>").collect()
+    held = spark.sparkContext.broadcast([lexicon([h for h in range(FOLDS) if h != f]) for f in range(FOLDS)])
+    every = lexicon(list(range(FOLDS)))
+    rows = sample.mapInArrow(_measure(held), "label int, fold long, x array<double>").collect()
     x = np.array([r.x for r in rows]).reshape(-1, N_FEATURES)
-    y, half = np.array([r.label for r in rows], float), np.array([r.half for r in rows])
+    y, fold = np.array([r.label for r in rows], float), np.array([r.fold for r in rows])
     order = np.lexsort((*x.T, y))  # the same model whatever order rows arrive in
-    x, y, half = x[order], y[order], half[order]
-    if any(len(np.unique(y[half == h])) < 2 for h in (0, 1)):
+    x, y, fold = x[order], y[order], fold[order]
+    if any(len(np.unique(y[fold != h])) < 2 for h in range(FOLDS)):
         return Toxicity(every, None, np.zeros(0), np.zeros(0), prior)
     margin = np.empty(len(y))
-    for h in (0, 1):
-        margin[half == h] = fit_trees(x[half != h], y[half != h]).margin(x[half == h])
+    for h in range(FOLDS):
+        margin[fold == h] = fit_trees(x[fold != h], y[fold != h]).margin(x[fold == h])
     ends, levels = fit_isotonic(margin, y)
     return Toxicity(every, fit_trees(x, y), ends, levels, prior)
 
