@@ -5,20 +5,31 @@ from __future__ import annotations
 import tempfile
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in spark.checkpoint.dir; only where that is unset, on one machine, in a folder of ours."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, from spark.checkpoint.dir; only where that is unset, on one machine, one of ours.
+
+    Checkpoints go with their DataFrames where spark.cleaner.referenceTracking.cleanCheckpoints is set, else they are the
+    caller's to delete.
+    """
+    context = spark.sparkContext
+    set_ = context._jsc.sc().getCheckpointDir()
+    folder = context.getConf().get("spark.checkpoint.dir", None) or (None if set_.isEmpty() else set_.get())
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    if set_.isEmpty():
         context.setCheckpointDir(folder)
+    return folder
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in :func:`shared_folder`."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -14,7 +14,16 @@ from quillgraph.plans.languages import LANGUAGES
 from quillgraph.plans.planner import build
 from quillgraph.sources import change_log
 from quillgraph.sources.generators import synthetic
-from quillgraph.sources.star_schema import SPAN, load, node_id, with_reverse
+from quillgraph.sources.star_schema import EDGE_SPAN, KEYS, LINES, SPAN, load, node_id, with_reverse
+
+_LINES = f"select *, {4 * EDGE_SPAN} + l_orderkey * {LINES} + row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate) as id from lineitem"
+_EDGES_BY_ID = f"""
+  select cast(n_nationkey as bigint) as id, {1 * SPAN} + n_nationkey as src, {0 * SPAN} + n_regionkey as dst, 1.0::double as weight from nation union all
+  select {1 * EDGE_SPAN} + c_custkey, {2 * SPAN} + c_custkey, {1 * SPAN} + c_nationkey, 1.0 from customer union all
+  select {2 * EDGE_SPAN} + s_suppkey, {3 * SPAN} + s_suppkey, {1 * SPAN} + s_nationkey, 1.0 from supplier union all
+  select {3 * EDGE_SPAN} + o_orderkey, {2 * SPAN} + o_custkey, {5 * SPAN} + o_orderkey, o_totalprice from orders union all
+  select id, {5 * SPAN} + l_orderkey, {4 * SPAN} + l_partkey, l_extendedprice from ({_LINES}) union all
+  select distinct {5 * EDGE_SPAN} + l_partkey * {KEYS} + l_suppkey, {4 * SPAN} + l_partkey, {3 * SPAN} + l_suppkey, 1.0 from lineitem"""
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -116,6 +125,15 @@ _add("get_node", _run(f"GET NODE N{_CUSTOMER + 1}", "simple", _with_prop("c_name
 _add("get_node_missing", _run("GET NODE N999999999999999", "simple", _plain("id", "label")), f"select id, label from ({_ALL_NODES}) where false")
 _add("get_edge_missing", _run("GET EDGE E999999999999999", "simple", _plain("src", "dst")), f"select src, dst from ({_ALL_EDGES}) where false")
 _add("get_edge", _run("GET EDGE E0", "simple", _plain("id", "label")), "select cast(0 as bigint) as id, 'IN_REGION' as label")
+_line = 4 * EDGE_SPAN + LINES + 2
+_add("get_edge_of_line", _run(f"GET EDGE E{_line}", "simple", _with_prop("l_quantity", "float", "id", "src", "dst", "weight")), f"select id, {_ORDER} + l_orderkey as src, {4 * SPAN} + l_partkey as dst, l_extendedprice as weight, l_quantity as prop from ({_LINES}) where id = {_line}")
+_both(
+    "match_edges_eq_float",
+    "MATCH EDGE WHERE props.l_discount = 0.05 AND props.l_quantity != 7.0",
+    "MATCH (a)-[r]->(b) WHERE r.l_discount = 0.05 AND r.l_quantity != 7.0 RETURN r",
+    _with_prop("l_discount", "float", "src", "dst"),
+    f"select {_ORDER} + l_orderkey as src, {4 * SPAN} + l_partkey as dst, l_discount as prop from lineitem where abs(l_discount - 0.05) < {_EPS} and abs(l_quantity - 7.0) >= {_EPS}",
+)
 _both("count_nodes", "COUNT NODES", "COUNT NODES", _plain("count"), f"select count(*) as count from ({_ALL_NODES})")
 _both("count_edges", "COUNT EDGES", "COUNT EDGES", _plain("count"), f"select count(*) as count from ({_ALL_EDGES})")
 
@@ -134,14 +152,31 @@ _add(
     "select column_name as key from information_schema.columns where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders') and column_name <> 'o_orderdate' group by column_name",
 )
 _add("field_cardinality", _on(statistics.field_cardinality, "p_size"), "select 'p_size' as key, count(distinct p_size) as n from part")
-_add("neighbors_out", lambda s, d: statistics.neighbors_out(_graph(s, d), _CUSTOMER + 1).select("node_id", "weight"), f"select dst as node_id, weight from ({_ALL_EDGES}) where src = {_CUSTOMER + 1}")
-_add("neighbors_in", lambda s, d: statistics.neighbors_in(_graph(s, d), SPAN + 3).select("node_id", "weight"), f"select src as node_id, weight from ({_ALL_EDGES}) where dst = {SPAN + 3}")
+_add("neighbors_out", _on(statistics.neighbors_out, _CUSTOMER + 1), f"select dst as node_id, id as edge_id, weight from ({_EDGES_BY_ID}) where src = {_CUSTOMER + 1}")
+_add("neighbors_in", _on(statistics.neighbors_in, SPAN + 3), f"select src as node_id, id as edge_id, weight from ({_EDGES_BY_ID}) where dst = {SPAN + 3}")
 _add("out_degree", _on(statistics.out_degree), f"select src as node_id, count(*) as n from ({_ALL_EDGES}) group by src")
 _add("in_degree", _on(statistics.in_degree), f"select dst as node_id, count(*) as n from ({_ALL_EDGES}) group by dst")
 _add("all_node_ids", _on(statistics.all_node_ids), f"select id from ({_ALL_NODES})")
+_add("all_edge_ids", _on(statistics.all_edge_ids), f"select id from ({_EDGES_BY_ID})")
 _add("contains_node", _on(statistics.contains_node, _CUSTOMER + 1), f"select count(*) > 0 as found from ({_ALL_NODES}) where id = {_CUSTOMER + 1}")
 _add("orphan_nodes", _on(statistics.orphan_nodes), f"with e as ({_ALL_EDGES}) select id from ({_ALL_NODES}) n where id not in (select src from e) and id not in (select dst from e)")
 
+
+
+def _of_regions(spark: SparkSession, sf_dir: str) -> PropertyGraph:
+    """The graph with its first edge table only, so that many nodes have no edges."""
+    g = _graph(spark, sf_dir)
+    return PropertyGraph(spark, g.node_tables, g.edge_tables[:1])
+
+
+_add("orphan_nodes_of_regions", lambda s, d: statistics.orphan_nodes(_of_regions(s, d)), f"select id from ({_ALL_NODES}) where label not in ('Nation', 'Region') or (label = 'Nation' and id - {SPAN} not in (select n_nationkey from nation)) or (label = 'Region' and id not in (select n_regionkey from nation))")
+_add(
+    "label_stats_order",
+    lambda s, d: s.createDataFrame([(k, r.label, r.n) for k, r in enumerate(statistics.label_stats(_graph(s, d)).collect())], "pos long, label string, n long"),  # one row a label
+    f"select row_number() over (order by n desc, label) - 1 as pos, label, n from (select label, count(*) as n from ({_ALL_NODES}) group by label)",
+)
+_add("property_keys_order", lambda s, d: s.createDataFrame([(k, r.key) for k, r in enumerate(statistics.property_keys(_graph(s, d)).collect())], "pos long, key string"), "select row_number() over (order by key) - 1 as pos, key from (select distinct column_name as key from information_schema.columns where table_name in ('region', 'nation', 'customer', 'supplier', 'part', 'orders') and column_name <> 'o_orderdate')")
+
 _WALK = f"""with recursive e as ({_ALL_EDGES}),
   walk(node_id, level) as (select id, 0 from ({_ALL_NODES}) where id = {_CUSTOMER + 1} union select e.dst, walk.level + 1 from walk join e on e.src = walk.node_id)"""
 _add("bfs_levels", _on(traversal.bfs_levels, _CUSTOMER + 1), f"{_WALK} select node_id, min(level) as level from walk group by node_id")
@@ -156,19 +191,24 @@ _ROUTES = f"""with recursive e as ({_ALL_EDGES}),
 _add("shortest_distances", lambda s, d: paths.distances(_graph(s, d), _CUSTOMER + 1).select("node_id", "dist"), f"{_ROUTES} select node_id, min(dist) as dist from route group by node_id")
 _add("shortest_distance", lambda s, d: build(_graph(s, d), LANGUAGES["simple"].parse(f"PATH FROM N{_CUSTOMER + 1} TO N1")).orderBy(F.desc("pos")).limit(1).select("node_id", "dist"), f"{_ROUTES} select node_id, min(dist) as dist from route where node_id = 1 group by node_id")
 _both("shortest_path_missing", f"PATH FROM N{_CUSTOMER + 1} TO N999999999999999", f"PATH FROM N{_CUSTOMER + 1} TO N999999999999999", _plain("node_id"), f"select id as node_id from ({_ALL_NODES}) where false")
-_add("shortest_path_nodes", _run(f"PATH FROM N{_CUSTOMER + 1} TO N1", "simple", _plain("pos", "node_id")))
-
-
-def _without_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What deleting nation 3 leaves: it goes with its edges."""
-    g = _graph(spark, sf_dir)
-    gone = SPAN + 3
-    nodes = g.node_ids().where(F.col("id") != gone).agg(F.count(F.lit(1)).alias("nodes"))
-    edges = g.links().where((F.col("src") != gone) & (F.col("dst") != gone)).agg(F.count(F.lit(1)).alias("edges"))
-    return nodes.crossJoin(edges)  # of one row each
-
-
-_add("delete_node_cascade", _without_nation, f"select (select count(*) from ({_ALL_NODES}) where id <> {SPAN + 3}) as nodes, (select count(*) from ({_ALL_EDGES}) where src <> {SPAN + 3} and dst <> {SPAN + 3}) as edges")
+# back from the goal, by the predecessor with the smallest (distance, id)
+_PATH = f"""{_ROUTES}, d as (select node_id, min(dist) as dist from route group by node_id),
+  p as (select e.dst as node_id, e.src as pred, row_number() over (partition by e.dst order by u.dist, e.src) as k
+        from ({_ALL_EDGES}) e join d u on u.node_id = e.src join d v on v.node_id = e.dst where u.dist + e.weight = v.dist),
+  back(node_id, steps) as (select node_id, 0 from d where node_id = 1 union all select p.pred, back.steps + 1 from back join p on p.node_id = back.node_id and p.k = 1)
+select cast((select max(steps) from back) - steps as int) as pos, back.node_id, d.dist from back join d using (node_id)"""
+_both("shortest_path_nodes", f"PATH FROM N{_CUSTOMER + 1} TO N1", f"PATH FROM N{_CUSTOMER + 1} TO N1", _plain("pos", "node_id", "dist"), _PATH)
+# in a graph without cycles a node is discovered by the smallest path: breadth first, of the shortest by edge ids; depth first, of
+# all, the last edge first, a path before those that go on from it
+_PATHS = f"""with recursive e as ({_EDGES_BY_ID}),
+  route(node_id, level, way) as (select id, 0, []::bigint[] from ({_ALL_NODES}) where id = {_CUSTOMER + 1} union all select e.dst, route.level + 1, list_append(route.way, e.id) from route join e on e.src = route.node_id)"""
+_BFS = f"""{_PATHS}, first as (select node_id, min(level) as level from route group by node_id),
+  least as (select node_id, level, min(way) as way from route join first using (node_id, level) group by node_id, level)
+select row_number() over (order by level, way) - 1 as pos, node_id, level from least"""
+_DFS = f"""{_PATHS}, least as (select node_id, min(list_transform(way, lambda x: -x)) as way from route group by node_id)
+select row_number() over (order by way) - 1 as pos, node_id from least"""
+_both("bfs_order", f"TRAVERSE BFS FROM N{_CUSTOMER + 1}", f"TRAVERSE BFS FROM N{_CUSTOMER + 1}", _plain("pos", "node_id", "level"), _BFS)
+_both("dfs_order", f"TRAVERSE DFS FROM N{_CUSTOMER + 1}", f"TRAVERSE DFS FROM N{_CUSTOMER + 1}", _plain("pos", "node_id"), _DFS)
 
 
 def _event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -185,16 +225,6 @@ _add(
 )
 
 
-def _committed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as transactions that upsert them: those of status F end in a commit, of O in a rollback, of P not at all."""
-    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    mark = F.when(F.col("o_orderstatus") == "F", "commit").when(F.col("o_orderstatus") == "O", "rollback")
-    steps = F.array(F.lit("begin"), F.lit("upsert_node"), mark)
-    records = o.select(F.col("o_orderkey").alias("txn"), node_id("Order", F.col("o_orderkey")).alias("id"), F.posexplode(steps).alias("place", "op")).where("op is not null")
-    return change_log.committed(records).select("id")
-
-
-_add("txn_visibility", _committed, f"select {_ORDER} + o_orderkey as id from orders where o_orderstatus = 'F'")
 _add(
     "synthetic_population",
     lambda s, d: build(synthetic(s), LANGUAGES["simple"].parse("MATCH NODE WHERE props.population > 5000000")).select("id"),
@@ -222,3 +252,8 @@ _add("match_nodes_map_layout", _map_layout, f"select {_CUSTOMER} + c_custkey as
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = 'MATCH NODE WHERE label = "Customer" AND props.c_acctbal > 0'
     return _run(text, "simple", _with_prop("c_acctbal", "float", "id", "label"))(spark, sf_dir)
+
+
+from quillgraph import registry_sessions  # noqa: E402  adds its own
+
+registry_sessions.register(_add)
