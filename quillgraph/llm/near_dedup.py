@@ -217,7 +217,10 @@ def _compared(groups: DataFrame, key: list[str], plan: DataFrame, texts: DataFra
     dealt = dealt.withColumn("block", F.when(apart, F.col("p") + F.pmod(own, F.greatest("q", F.lit(1)))).otherwise(F.pmod(own, F.col("p"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(apart, F.col("p")).otherwise(F.col("p") + F.col("q")) - 1)))
     dealt = dealt.select(*key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("a").alias("doc_id"), "set", "root", "main")
-    return dealt.join(texts, ["doc_id", "set"]).groupBy(*key, "i", "j").applyInArrow(_between(percent), pair)
+    # dealt by number, as partitions of few bytes, which take long here, would be put together otherwise
+    n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = dealt.join(texts, ["doc_id", "set"]).repartition(n, *key, "i", "j")
+    return met.groupBy(*key, "i", "j").applyInArrow(_between(percent), pair)
 
 
 def _plan(groups: DataFrame, key: list[str]) -> DataFrame:
