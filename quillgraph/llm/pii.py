@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -101,8 +102,8 @@ _BLANK = " \t\n\v\f\r"
 
 
 class _Document:
-    """Base spans of one text, and its candidates outside of them: tokens and runs of tokens with digits, and matches that
-    fail their test."""
+    """Base spans of one text, and its candidates outside of them: tokens with DIGITS digits, whole runs of two to TOKENS
+    successive tokens with digits and DIGITS of them together, and matches that fail their test."""
 
     def __init__(self, words: Words, i: int, at: np.ndarray, digits_before: np.ndarray) -> None:
         self.words, self.first, self.end = words, int(words.first[i]), int(words.first[i + 1])
@@ -113,7 +114,9 @@ class _Document:
         self.points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         formed = list(formed_spans(self.text))
         self.base = [(kind, a, b) for kind, a, b, good in formed if good]
-        self.taken = sorted((a, b) for _, a, b in self.base)
+        taken = sorted((a, b) for _, a, b in self.base)
+        #: where base spans start, ascending, and how far any of those up to each reaches
+        self.starts, self.reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
         found = {(a, b) for _, a, b, good in formed if not good and self._whole(a, b)}
         count = digits_before[words.end[self.first : self.end]] - digits_before[words.start[self.first : self.end]]
         run: list[tuple[int, int]] = []
@@ -133,8 +136,8 @@ class _Document:
         self.candidates = sorted((a, b) for a, b in found if len(_digits(self.text[a:b])) >= DIGITS and self.free(a, b))
 
     def free(self, a: int, b: int) -> bool:
-        k = bisect_left(self.taken, (b, b))
-        return not any(y > a for _, y in self.taken[max(0, k - 4) : k])  # of four kinds, whose spans don't overlap their own
+        k = bisect_left(self.starts, b)
+        return not k or self.reach[k - 1] <= a
 
     def _whole(self, a: int, b: int) -> bool:
         """Whether nothing but marks stands between a:b and the white space around."""
