@@ -127,7 +127,7 @@ class Repl:
     def _limit(self, rest: str) -> str:
         if rest:
             if not rest.isdecimal():
-                return "Usage: :limit <number>  (0 = unlimited)"
+                return "Usage: :limit NUMBER, 0 for no limit"
             self.limit = int(rest)
         return f"Result limit: {self.limit or 'unlimited'}"
 
