@@ -16,21 +16,25 @@ shingles with others, of other components, form a group, in which those outside
 compared with all, in pairs of blocks of bounded size; where many are outside, each shingle has a group of its own. After
 that every candidate pair was either checked or is joined by checked links.
 
+Texts are moved only where they may be needed, and in turns: what one moves is a fraction of all texts, and its shuffle files
+go before the next begins.
+
 Keys that many rows share (a set, a band key, a centre, a common shingle) meet only tables that are kept with one row a
 key, in joins that adaptive execution can split, or are dealt into blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm._table import components, saved, table
+from quillgraph.llm._table import components, perhaps, put_back, saved, set_aside, table
 from quillgraph.llm._text import SPACED, Words, blocks, mix, shingle_sets
 
 SHINGLE = 5
@@ -41,6 +45,8 @@ MARGIN = 0.2
 #: Shingles of a block of members that are compared with a centre, which each block has a copy of, or with those of another
 #: block; and of members outside a group's largest component, from which on shingles have groups of their own.
 BLOCK, APART = 1 << 14, 1 << 17
+#: A turn moves texts of one in so many of all shingles, and of so many at least.
+TURNS, TURN = 4, 1 << 22
 #: Counters by which shingles are ordered, common ones last. More shingles share them; any order gives the same links.
 COUNTERS = 1 << 18
 _RNG = np.random.default_rng(7)
@@ -205,22 +211,35 @@ def _between(percent: int):
     return run
 
 
-def _compared(groups: DataFrame, key: list[str], plan: DataFrame, texts: DataFrame, percent: int, pair: T.StructType) -> DataFrame:
+def _in_turns(moved: int | None, most: int, part: Callable[[Column], DataFrame], *by: str) -> DataFrame:
+    """``part`` of a condition, for as many conditions on the values of ``by`` as leave each ``most`` of ``moved`` shingles."""
+    n = max(1, -(-(moved or 0) // most))
+    done = [saved(part(F.pmod(F.xxhash64(F.lit("turn"), *by), F.lit(n)) == k if n > 1 else F.lit(True))) for k in range(n)]
+    return reduce(DataFrame.unionByName, done)
+
+
+def _compared(groups: DataFrame, key: list[str], plan: DataFrame, texts: DataFrame, percent: int, pair: T.StructType, most: int) -> DataFrame:
     """Links between members (a, set, root) of different roots in each group of ``key``; ``plan`` has a group's largest root
     (main), that one's shingles (most) and all (size)."""
     # p blocks of what is outside of the largest component, then q of that component; a single block of a small group
     whole = F.col("size") <= BLOCK
     p, q = F.when(whole, 1).otherwise(F.ceil((F.col("size") - F.col("most")) / BLOCK)), F.when(whole, 0).otherwise(F.ceil(F.col("most") / BLOCK))
-    plan = saved(plan.select(*key, "main", p.cast("int").alias("p"), q.cast("int").alias("q")))
-    dealt = groups.join(plan, key).withColumn("main", F.col("root") == F.col("main"))
+    copies = (F.col("size") - F.col("most")) * (p + q) + F.col("most") * p
+    plan = saved(plan.select(*key, "main", p.cast("int").alias("p"), q.cast("int").alias("q"), copies.cast("long").alias("copies")))
+    moved = plan.agg(F.sum("copies")).first()[0]
+    dealt = groups.join(plan.drop("copies"), key).withColumn("main", F.col("root") == F.col("main"))
     own, apart = F.xxhash64("a", "set"), F.col("main") & (F.col("q") > 0)
     dealt = dealt.withColumn("block", F.when(apart, F.col("p") + F.pmod(own, F.greatest("q", F.lit(1)))).otherwise(F.pmod(own, F.col("p"))).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(apart, F.col("p")).otherwise(F.col("p") + F.col("q")) - 1)))
     dealt = dealt.select(*key, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", F.col("a").alias("doc_id"), "set", "root", "main")
     # dealt by number, as partitions of few bytes, which take long here, would be put together otherwise
     n = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = dealt.join(texts, ["doc_id", "set"]).repartition(n, *key, "i", "j")
-    return met.groupBy(*key, "i", "j").applyInArrow(_between(percent), pair)
+
+    def part(rows: Column) -> DataFrame:
+        met = dealt.where(rows).join(texts, ["doc_id", "set"]).repartition(n, *key, "i", "j")
+        return met.groupBy(*key, "i", "j").applyInArrow(_between(percent), pair)
+
+    return _in_turns(moved, most, part, *key, "i", "j")
 
 
 def _plan(groups: DataFrame, key: list[str]) -> DataFrame:
@@ -229,7 +248,7 @@ def _plan(groups: DataFrame, key: list[str]) -> DataFrame:
     return by_root.groupBy(*key).agg(F.max_by("root", largest).alias("main"), F.max_by("size", largest).alias("most"), F.sum("size").alias("size"))
 
 
-def _remainder(around: DataFrame, texts: DataFrame, percent: int, pair: T.StructType) -> DataFrame:
+def _remainder(around: DataFrame, texts: DataFrame, percent: int, pair: T.StructType, most: int) -> DataFrame:
     """Links (a, b) between members (a, set, root) of different roots, of ``around`` (centre b, set_b)."""
     spark, key = around.sparkSession, ["b", "set_b"]
     torn = saved(around.groupBy(*key).agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select(*key))
@@ -237,7 +256,7 @@ def _remainder(around: DataFrame, texts: DataFrame, percent: int, pair: T.Struct
     if loose.isEmpty():
         return spark.createDataFrame([], pair)
     of = loose.select("a", "set", "root").distinct().join(texts.withColumnRenamed("doc_id", "a"), ["a", "set"])
-    counted = of.select("text").mapInArrow(_counters, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows
+    counted = saved(of.select("text").mapInArrow(_counters, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n"))).toArrow()  # COUNTERS rows
     common = np.zeros(COUNTERS, np.int64)
     common[counted["counter"].to_numpy()] = counted["n"].to_numpy()
     held = spark.sparkContext.broadcast(common)  # 2 MB
@@ -251,13 +270,13 @@ def _remainder(around: DataFrame, texts: DataFrame, percent: int, pair: T.Struct
     member = saved(loose.join(bound, ["a", "set"]))
     plan = saved(_plan(member, key).where("size > most"))
     outside = F.col("size") - F.col("most")
-    found = _compared(member, key, plan.where(outside <= APART), texts, percent, pair)
+    found = _compared(member, key, plan.where(outside <= APART), texts, percent, pair, most)
     many = plan.where(outside > APART).select(*key)
     if not many.isEmpty():
         # of shingles that the same members have, one; a group of them needs no centre
         chosen = saved(shared.groupBy("members", "tag_1", "tag_2").agg(F.min("shingle").alias("shingle")).select("shingle"))
         groups = saved(prefix.join(chosen, "shingle").join(member.join(many, key).select("a", "set").distinct(), ["a", "set"]))
-        found = found.unionByName(_compared(groups, ["shingle"], _plan(groups, ["shingle"]), texts, percent, pair))
+        found = found.unionByName(_compared(groups, ["shingle"], _plan(groups, ["shingle"]), texts, percent, pair, most))
     return saved(found.distinct())
 
 
@@ -293,23 +312,33 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     likely = saved(both.mapInArrow(_likely(percent / 100), T.StructType([star.schema["a"], star.schema["set_a"], T.StructField("n_a", T.LongType()), star.schema["b"], star.schema["set_b"]])))
 
     # texts of all that stand in a bucket with others, one of each class
-    wanted = star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct()
-    texts = of.join(wanted, "doc_id", "left_semi").mapInArrow(_with_set, T.StructType([of.schema["doc_id"], T.StructField("set", T.LongType()), T.StructField("text", T.StringType())]))
-    texts = saved(texts.dropDuplicates(["doc_id", "set"]))
+    wanted = saved(star.select(F.col("a").alias("doc_id")).unionByName(star.select(F.col("b").alias("doc_id"))).distinct())
+    most = max(TURN, (sig.agg(F.sum("n_shingles")).first()[0] or 0) // TURNS)
+    near = perhaps(of, wanted).where("perhaps").select("doc_id", "text")
+    with_set = T.StructType([of.schema["doc_id"], T.StructField("set", T.LongType()), T.StructField("text", T.StringType())])
+
+    def gathered(rows: Column) -> DataFrame:
+        return near.where(rows).join(wanted, "doc_id", "left_semi").mapInArrow(_with_set, with_set).dropDuplicates(["doc_id", "set"])
+
+    moved = some.join(wanted, "doc_id", "left_semi").agg(F.sum("n_shingles")).first()[0]
+    texts = _in_turns(moved, most, gathered, "doc_id")
 
     # a centre's text goes once to each block of its members
     heavy = saved(likely.groupBy("b", "set_b").agg(F.sum("n_a").alias("size")).where(F.col("size") > BLOCK))
     dealt = likely.join(heavy, ["b", "set_b"], "left").withColumn("block", F.coalesce(F.pmod(F.xxhash64("a", "set_a"), F.ceil(F.col("size") / BLOCK)), F.lit(0)).cast("int"))
     dealt = saved(dealt.select("b", "set_b", "block", F.lit(1).alias("role"), F.col("a").alias("doc_id"), F.col("set_a").alias("set")))
     centres = dealt.select("b", "set_b", "block").distinct().select("b", "set_b", "block", F.lit(0).alias("role"), F.col("b").alias("doc_id"), F.col("set_b").alias("set"))
-    meet = dealt.unionByName(centres).join(texts, ["doc_id", "set"]).select("b", "set_b", "block", "role", F.col("doc_id").alias("a"), "text")
-    meet = meet.repartition("b", "set_b", "block").sortWithinPartitions("b", "set_b", "block", "role")
-    links = meet.mapInArrow(_with_centre(percent), pair)
-    links = saved(links if own is None else links.unionByName(own))
 
-    parts = components(links)
+    def checked(rows: Column) -> DataFrame:
+        meet = dealt.unionByName(centres).where(rows).join(texts, ["doc_id", "set"]).select("b", "set_b", "block", "role", F.col("doc_id").alias("a"), "text")
+        meet = meet.repartition("b", "set_b", "block").sortWithinPartitions("b", "set_b", "block", "role")
+        return meet.mapInArrow(_with_centre(percent), pair)
+
+    # with a centre's own text in each block
+    links = _in_turns(2 * (likely.agg(F.sum("n_a")).first()[0] or 0), most, checked, "b", "set_b", "block")
+    parts = components(links if own is None else links.unionByName(own))
     around = star.select("b", "set_b", "a", F.col("set_a").alias("set")).join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("root", F.coalesce("root", "a"))
-    rest = _remainder(around, texts, percent, pair)
+    rest = _remainder(around, texts, percent, pair, most)
     # what is found there joins components that are settled otherwise
     roots = parts if rest.isEmpty() else components(rest.unionByName(parts.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     of_class = saved(reps.select(*whole, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*whole, F.coalesce("root", "rep").alias("component_id")))
@@ -320,8 +349,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 def deduplicate(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group of near duplicates: that with the smallest doc_id, with all its rows."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = saved(near_duplicates(docs, percent).where("not kept").select("doc_id").distinct())
+    of = perhaps(set_aside(docs), gone)
+    kept = of.where("not perhaps").unionByName(of.where("perhaps").join(gone, "doc_id", "left_anti"))
+    return put_back(kept, docs.columns)
 
 
 def op9_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
 """Near duplicates against brute force: tables that the usual fixtures don't have."""
 
 import itertools
+import pathlib
+import time
 
 import numpy as np
 import pytest
 
-from quillgraph.llm import near_dedup
+from quillgraph.llm import _table, near_dedup
 
 
 def shingles(text):
@@ -103,3 +105,43 @@ def test_repeated_ids_of_differing_texts_and_text_ids(spark):
     one, two = " ".join(f"a{k}" for k in range(60)), " ".join(f"b{k}" for k in range(30))
     rows = [("d", one), ("d", two), ("c", two + " tail"), ("e", one + " tail"), ("f", "x"), ("f", None), (None, one), ("g", ""), ("e", one + " tail"), ("a", "y z"), ("b", "Y  Z")]
     check(spark, rows, "string")
+
+
+def shuffled(spark):
+    """Bytes of shuffle files that lie in Spark's local folders."""
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return sum(f.stat().st_size for at in folders for f in pathlib.Path(at).rglob("shuffle_*"))
+
+
+def test_disk_holds_neither_former_steps_nor_texts_that_stand_alone(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    # hexadecimal digits at random, so that compression leaves half of each text
+    texts = [" ".join(rng.bytes(4).hex() for _ in range(300)) for _ in range(3000)]
+    rows = [(k, t) for k, t in enumerate([*texts, *(t + " tail" for t in texts[:200])])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    before = shuffled(spark)
+    near_dedup.deduplicate(docs).write.parquet(f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == len(texts)
+    time.sleep(2)  # files are deleted beside what follows
+    most = sum(len(t) for _, t in rows)
+    assert shuffled(spark) - before < most / 4
+
+
+def test_perhaps_leaves_out_none(spark):
+    ids = [None, "", "a", "b", *(f"id{k}" for k in range(0, 3000, 3))]
+    docs = spark.createDataFrame([(x, "t") for x in [*ids, *(f"id{k}" for k in range(3000))]], "doc_id string, text string")
+    out = _table.perhaps(docs, spark.createDataFrame([(x,) for x in [*ids, "a"]], "doc_id string")).collect()
+    assert len(out) == docs.count()
+    assert all(r.perhaps for r in out if r.doc_id in set(ids))
+    assert sum(r.perhaps for r in out) < len(ids) * 2 + 10
+
+
+@pytest.mark.parametrize("block", [near_dedup.BLOCK, 700])
+def test_turns_give_the_same_links(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "APART", block // 2)
+    monkeypatch.setattr(near_dedup, "TURN", 1)
+    rows = around_a_licence(np.random.default_rng(6), 30)
+    texts = [t for _, t in rows[:10]]
+    check(spark, rows + [(1000 + k, t + " tail") for k, t in enumerate(texts)] + [(3, "another text of the same document, which nothing else is like"), (None, texts[0])])
